@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.jaccard_join import jaccard_components
+from gridloom.llm.language_id import identify, train
 from gridloom.llm.substring_dedup import substring_dedup
 
 
@@ -22,8 +23,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return identify(docs, train(docs)).drop("spans")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op7_substring_dedup)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op7_substring_dedup, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
