@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.decontaminate import contaminated
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.substring_dedup import substring_dedup
@@ -28,8 +29,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, train(docs)).drop("spans")
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op7_substring_dedup, op9_language_id)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op7_substring_dedup, op9_language_id, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
