@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.decontaminate import contaminated
+from gridloom.llm.fingerprints import compare_neighbours
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.substring_dedup import substring_dedup
@@ -20,6 +21,10 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, percent=85)[0]
 
 
+def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_neighbours(_table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -34,7 +39,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op7_substring_dedup, op9_language_id, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_document_fingerprints, op7_substring_dedup, op9_language_id, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
