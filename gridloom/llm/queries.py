@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm.decontaminate import contaminated
 from gridloom.llm.fingerprints import compare_neighbours
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
+from gridloom.llm.mixing import placements
 from gridloom.llm.substring_dedup import substring_dedup
 
 
@@ -25,6 +27,11 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_neighbours(_table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = F.col("mix_size") * F.size("mix_shards")
+    return placements(_table(spark, sf_dir, "documents")).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -39,7 +46,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_document_fingerprints, op7_substring_dedup, op9_language_id, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_document_fingerprints, op4_mixing, op7_substring_dedup, op9_language_id, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
