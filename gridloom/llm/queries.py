@@ -12,6 +12,7 @@ from gridloom.llm.fingerprints import compare_neighbours
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.mixing import placements
+from gridloom.llm.sharding import shard
 from gridloom.llm.substring_dedup import substring_dedup
 
 
@@ -36,6 +37,10 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(_table(spark, sf_dir, "documents")).located("doc_id", "n_chars")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return identify(docs, train(docs)).drop("spans")
@@ -46,7 +51,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_document_fingerprints, op4_mixing, op7_substring_dedup, op9_language_id, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_document_fingerprints, op4_mixing, op7_substring_dedup, op8_sharding, op9_language_id, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
