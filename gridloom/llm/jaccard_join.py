@@ -19,8 +19,9 @@ Candidates come from lists of equal signatures.  Sets that are equal count as
 one node.  Lists are not expanded into pairs: first every member is verified with
 one hub of its list; then, in lists whose members are not yet in one component,
 those outside the list's largest component meet the members of other components
-that size and position bounds leave.  All bounds are lossless, so the components
-are those of all links.
+that size and position bounds leave.  Before texts are compared, parity
+bitmaps bound the overlap: sets that differ in ``d`` tokens differ in ``d`` bits at
+most.  All bounds are lossless, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -45,7 +46,10 @@ SLICE = 1 << 18
 FREQUENT_TIMES = 2.0
 FREQUENT_OVER = 64
 
-_SURVEY = "kind int, doc_id long, k long, n long, slice int, counts binary"
+#: Bits of the parity bitmaps: bit b of a set's is whether an odd number of its tokens hash to b.
+PARITY_BITS = 1024
+
+_SURVEY = "kind int, doc_id long, k long, n long, parity array<bigint>, slice int, counts binary"
 _POSTINGS = "sig long, node long, n int, rem int"
 
 
@@ -78,6 +82,14 @@ def set_keys(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return K.mix((total[bounds[1:]] - total[bounds[:-1]]) + n * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _parity(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    n, words = len(bounds) - 1, PARITY_BITS // 64
+    cell = np.repeat(np.arange(n), np.diff(bounds)) * PARITY_BITS + (values >> np.uint64(11)).astype(np.int64) % PARITY_BITS
+    odd = np.bincount(cell, minlength=n * PARITY_BITS) & 1
+    bits = np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, n * words + 1, words), pa.int32()), pa.array(bits))
+
+
 def _survey(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
@@ -91,12 +103,12 @@ def _survey(width: int, bits: int):
                     counts += np.bincount(np.concatenate(pending), minlength=1 << bits).astype(np.uint32)
                     pending, held = [], 0
                 n = part.num_rows
-                yield pa.RecordBatch.from_pydict({"kind": np.zeros(n, np.int32), "doc_id": part.column("doc_id").cast(pa.int64()), "k": K.signed(set_keys(values, bounds)), "n": np.diff(bounds).astype(np.int64), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"kind": np.zeros(n, np.int32), "doc_id": part.column("doc_id").cast(pa.int64()), "k": K.signed(set_keys(values, bounds)), "n": np.diff(bounds).astype(np.int64), "parity": _parity(values, bounds), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
         if held:
             counts += np.bincount(np.concatenate(pending), minlength=1 << bits).astype(np.uint32)
         for s in range(0, len(counts), SLICE):
             if counts[s : s + SLICE].any():
-                yield pa.RecordBatch.from_pydict({"kind": pa.array([1], pa.int32()), "doc_id": pa.nulls(1, pa.int64()), "k": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "slice": pa.array([s // SLICE], pa.int32()), "counts": [zlib.compress(counts[s : s + SLICE].tobytes(), 1)]})
+                yield pa.RecordBatch.from_pydict({"kind": pa.array([1], pa.int32()), "doc_id": pa.nulls(1, pa.int64()), "k": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "parity": pa.nulls(1, pa.list_(pa.int64())), "slice": pa.array([s // SLICE], pa.int32()), "counts": [zlib.compress(counts[s : s + SLICE].tobytes(), 1)]})
 
     return run
 
@@ -232,29 +244,38 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     frequent = int(_level(np.array([FREQUENT_TIMES * total / len(level) + FREQUENT_OVER]))[0])
     shared = spark.sparkContext.broadcast(level.tobytes())
 
-    sets = survey.filter("kind = 0").select("doc_id", "k", "n")
+    sets = survey.filter("kind = 0").select("doc_id", "k", "n", "parity")
     classes = sets.filter("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
 
     postings = docs.filter("doc_id is not null").mapInArrow(_signatures(shared, width, percent, sketch_bits, frequent), _POSTINGS)
     # the hub: the member in which the signature comes first, as a common original has no rare tokens before it
-    lists = postings.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("node", F.col("n") - F.col("rem")).alias("hub")).filter("low <> high").select("sig", "hub")
+    order = F.shiftleft((F.col("n") - F.col("rem")).cast("long"), 40).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 40) - 1)))
+    hub = [F.min_by(c, order).alias(name) for c, name in (("node", "hub"), ("n", "n_hub"), ("rem", "rem_hub"))]
+    lists = postings.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), *hub).filter("low <> high").drop("low", "high")
     postings = saved(postings.join(lists, "sig"), "postings")
-    first = saved(postings.filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-
+    met = postings.filter("node <> hub").filter(_possible("n", "n_hub", "rem", "rem_hub", percent))
     reps = classes.select(F.col("k").alias("node"), F.col("rep").alias("doc_id"))
-    nodes = postings.select("node").distinct()
-    wanted = saved(nodes.join(reps, "node"), "wanted")
-    texts = near_members(docs.filter("doc_id is not null"), "doc_id", wanted.select("doc_id"), wanted.count()).join(wanted, "doc_id").select("node", "text")
-    texts = saved(texts, "texts")
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a, b): by parity bitmaps first, then exactly by the texts."""
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
+        bitmaps = saved(nodes.join(sets.select(F.col("k").alias("node"), "doc_id", "n", "parity"), ["node", "doc_id"]).dropDuplicates(["node"]), "bitmaps")
+        side = lambda x: bitmaps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
+        differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        close = pairs.join(side("b"), "b").join(side("a"), "a").filter((100 + percent) * (F.col("n_a") + F.col("n_b") - differ) >= 2 * percent * (F.col("n_a") + F.col("n_b")))
+        close = saved(close.select("a", "b"), "close")
+        wanted = saved(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node"), "wanted")
+        texts = near_members(docs.filter("doc_id is not null"), "doc_id", wanted.select("doc_id"), wanted.count()).join(wanted, "doc_id").select("node", "text")
+        texts = saved(texts, "texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_verify(width, percent), "a long, b long, shared long")
+        both = close.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
+        return saved(both.mapInArrow(_verify(width, percent), "a long, b long, shared long"), "links")
 
-    links = saved(verified(first), "links")
+    first = saved(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+    links = verified(first)
     labels = saved(connected_components(links), "labels")
-    more = saved(verified(_across(postings, labels, percent).join(first, ["a", "b"], "left_anti")), "links")
+    across = _across(postings, labels, percent).join(first, ["a", "b"], "left_anti")
+    more = verified(saved(across, "pairs"))
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = saved(connected_components(links), "labels")
@@ -265,6 +286,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     return out, links
 
 
+def _possible(n: str, m: str, rem: str, other: str, percent: int) -> str:
+    """Whether the sizes ``n`` and ``m`` are similar enough, and the ``rem`` and ``other`` tokens left can hold the overlap needed."""
+    return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent} * least({rem}, {other}) >= {percent} * ({n} + {m})"
+
+
 def _across(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of lists whose members are in several components, less those that a bound rules out.
 
@@ -272,12 +298,12 @@ def _across(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     two sets share, at most ``rem`` tokens are left in either, which must reach
     the overlap that the similarity needs; every similar pair passes there.
     """
-    members = postings.drop("hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = postings.drop("hub", "n_hub", "rem_hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = members.groupBy("sig", "label").agg(F.count("*").alias("many"))
     main = sizes.groupBy("sig").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("sig", "main")
     members = saved(members.join(main, "sig"), "members")
     left = members.filter("label <> main").select("sig", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "rem", "label")])
     right = members.select("sig", F.col("main"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "rem", "label")])
     met = left.join(right, "sig").filter("label_x <> label_y and (label_y = main or node_x < node_y)")
-    met = met.filter(f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y) and {100 + percent} * least(rem_x, rem_y) >= {percent} * (n_x + n_y)")
+    met = met.filter(_possible("n_x", "n_y", "rem_x", "rem_y", percent))
     return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
