@@ -12,6 +12,7 @@ from gridloom.llm.fingerprints import compare_neighbours
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.mixing import placements
+from gridloom.llm.secrets import scan
 from gridloom.llm.sharding import shard
 from gridloom.llm.substring_dedup import substring_dedup
 
@@ -33,6 +34,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placements(_table(spark, sf_dir, "documents")).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -51,7 +57,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_document_fingerprints, op4_mixing, op7_substring_dedup, op8_sharding, op9_language_id, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_document_fingerprints, op4_mixing, op5_secret_scans, op7_substring_dedup, op8_sharding, op9_language_id, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
