@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.decontaminate import contaminated
 from gridloom.llm.fingerprints import compare_neighbours
+from gridloom.llm.html_text import extract
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.mixing import placements
@@ -39,6 +40,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_document_fingerprints, op4_mixing, op5_secret_scans, op7_substring_dedup, op8_sharding, op9_language_id, op10_benchmark_decontamination)}
+    return {f.__name__: f for f in (op2_ngram_jaccard_join, op3_document_fingerprints, op4_mixing, op5_secret_scans, op6_html_extraction, op7_substring_dedup, op8_sharding, op9_language_id, op10_benchmark_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
