@@ -121,10 +121,12 @@ class ShardStore:
 
     def compact(self, target: int = TARGET_BYTES, fan_in: int = FAN_IN) -> Manifest | None:
         """Merge until no tier below the target has ``fan_in`` shards; each round is one committed version."""
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.unionOutputPartitioning", "false")  # else one-partition groups would be united into one task
         while (last := self.manifest()) and (groups := plan(last.shards, target, fan_in)):
             schema, merged = T.StructType.fromJson(json.loads(last.schema)), []
             for k in range(0, len(groups), JOB_GROUPS):
-                parts = [self.spark.read.schema(schema).parquet(*[s.path for s in g]).coalesce(1) for g in groups[k : k + JOB_GROUPS]]
+                parts = [session.read.schema(schema).parquet(*[s.path for s in g]).coalesce(1) for g in groups[k : k + JOB_GROUPS]]
                 whole = parts[0]
                 for part in parts[1:]:
                     whole = whole.union(part)

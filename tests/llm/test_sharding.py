@@ -15,7 +15,7 @@ def test_round_trip_and_sizes(spark):
     store = shard(docs, target=60_000, rows=20)
     last = store.manifest()
     assert sorted(map(str, store.read().collect())) == sorted(map(str, docs.collect()))
-    assert not plan(last.shards, 60_000, 4) and len(last.shards) < 30 and sum(s.rows for s in last.shards) == docs.count()
+    assert not plan(last.shards, 60_000, 4) and 1 < len(last.shards) < 30 and max(s.bytes for s in last.shards) < 3 * 60_000 and sum(s.rows for s in last.shards) == docs.count()
     at = store.located("doc_id").collect()
     assert len(at) == docs.count() and {r.shard for r in at} == set(range(len(last.shards)))
     assert len(store.versions()) == 1
