@@ -27,6 +27,8 @@ from pyspark.sql.window import Window
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
+#: Names that the mixture uses for itself; columns of these names are left out.
+RESERVED = ("mix_size", "mix_source_size", "mix_target", "mix_shards", "mix_shard", "mix_copy", "mix_block", "mix_cut", "mix_plan_source", "mix_plan_block")
 BLOCKS = 512
 SHARDS = 16
 SEED = 42
@@ -68,15 +70,15 @@ def default_weights(sources: list[str | None]) -> dict[str | None, Fraction]:
 def placements(docs: DataFrame, weights: dict[str | None, float] | None = None, blocks: int = BLOCKS, shards: int = SHARDS, seed: int = SEED, most: int = MOST_REPEATS) -> DataFrame:
     """``docs`` with what the mix does with each row: columns mix_size, mix_source_size, mix_target, mix_shards.
 
-    Takes ``doc_id``, ``text`` and ``source``; all columns are kept, and columns
-    of these four names are replaced.  mix_size: words of the text (null: 0).  mix_target: the row's
+    Takes ``doc_id``, ``text`` and ``source``; all columns are kept but those
+    of RESERVED names.  mix_size: words of the text (null: 0).  mix_target: the row's
     source's target in words.  mix_shards: the shard of each time that the row is
     taken, an empty array if it is left out.  A null source is a source of its own,
     sorted last.  Rows without words are taken as often as their block is; a
     source without words has target 0.  Rows that repeat an id fall into one block;
     repeated rows are rows of their own.  An empty table gives no rows.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_shards")
+    docs = docs.drop(*RESERVED)
     block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(blocks)).cast("int")
     sized = docs.withColumns({"mix_size": F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long"), "mix_block": block})
     sums = sized.groupBy("source", "mix_block").agg(F.sum("mix_size").alias("words")).collect()  # at most ``blocks`` rows a source
@@ -118,8 +120,8 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
         for b in by[s]:
             cut = partial.get(s, (None, 0.0))
             plan.append((s, b, spots.get(b, []), cut[1] if b == cut[0] else None, sizes[s], float(goal[s])))
-    plan_table = spark.createDataFrame(plan, "p_source string, p_block int, mix_shards array<int>, mix_cut double, mix_source_size long, mix_target double")
-    planned = sized.join(F.broadcast(plan_table), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("mix_block") == F.col("p_block")), "left").drop("p_source", "p_block")
+    plan_table = spark.createDataFrame(plan, "mix_plan_source string, mix_plan_block int, mix_shards array<int>, mix_cut double, mix_source_size long, mix_target double")
+    planned = sized.join(F.broadcast(plan_table), F.col("source").eqNullSafe(F.col("mix_plan_source")) & (F.col("mix_block") == F.col("mix_plan_block")), "left").drop("mix_plan_source", "mix_plan_block")
     # the one block of each source that is taken in part: its documents in hash order, while half of the next fits
     once = planned.filter("mix_cut is not null")
     permuted = Window.partitionBy("source", "mix_block").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "doc_id"), "doc_id", "mix_size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -131,7 +133,7 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture: ``docs``' rows, each as often as it is taken, with its mix_shard, shuffled within shards."""
     seed = options.get("seed", SEED)
-    placed = placements(docs, **options).select(*docs.columns, F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
+    placed = placements(docs, **options).select(*[c for c in docs.columns if c not in RESERVED], F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
     return placed.repartition("mix_shard", F.pmod(F.xxhash64("doc_id", "mix_copy"), F.lit(64))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed), F.lit(2), "doc_id", "mix_copy"))
 
 

@@ -30,6 +30,8 @@ from gridloom.llm.scratch import filesystem, remove, scratch_path
 SMALL_ROWS = 4000
 TARGET_BYTES = 64 << 20
 FAN_IN = 4
+#: The column that holds a row's file while rows are counted or placed.
+FILE = "__file"
 #: Groups that one job merges.
 JOB_GROUPS = 64
 
@@ -106,8 +108,8 @@ class ShardStore:
         files = {s.getPath().getName(): (s.getPath().toString(), s.getLen()) for s in self.fs.listStatus(self._path("shards", folder.rpartition("/")[2])) if s.getPath().getName().startswith("part-")}
         if not files:
             return []
-        counts = self.spark.read.schema(df.schema).parquet(folder).select(_file_name()).groupBy("file").count().collect()  # a row a file
-        return [Shard(files[r["file"]][0], r["count"], files[r["file"]][1]) for r in sorted(counts, key=lambda r: r["file"])]
+        counts = self.spark.read.schema(df.schema).parquet(folder).select(_file_name()).groupBy(FILE).count().collect()  # a row a file
+        return [Shard(files[r[FILE]][0], r["count"], files[r[FILE]][1]) for r in sorted(counts, key=lambda r: r[FILE])]
 
     def append(self, df: DataFrame, rows: int = SMALL_ROWS) -> Manifest:
         """Commit ``df`` as shards of ``rows`` rows at most."""
@@ -164,17 +166,22 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*[s.path for s in got.shards]) if got.shards else self.spark.createDataFrame([], schema)
 
     def located(self, *columns: str) -> DataFrame:
-        """``columns`` of the latest version with shard (its number by path), shard_rows and shard_bytes."""
+        """``columns`` of the latest version with shard (its number by path), shard_rows and shard_bytes.
+
+        Where ``columns`` has one of these names, that one keeps it and the new column gets a trailing underscore.
+        """
         got = self.manifest()
-        names = self.spark.createDataFrame([(s.path.rpartition("/")[2], k, s.rows, s.bytes) for k, s in enumerate(sorted(got.shards, key=lambda s: s.path.rpartition("/")[2]))], "file string, shard int, shard_rows long, shard_bytes long")
-        return self.read().select(*columns, _file_name()).join(F.broadcast(names), "file").drop("file")  # a row a shard
+        names = self.spark.createDataFrame([(s.path.rpartition("/")[2], k, s.rows, s.bytes) for k, s in enumerate(sorted(got.shards, key=lambda s: s.path.rpartition("/")[2]))], f"{FILE} string, shard int, shard_rows long, shard_bytes long")
+        for c in ("shard", "shard_rows", "shard_bytes"):
+            names = names.withColumnRenamed(c, c + "_" * (c in columns))
+        return self.read().select(*columns, _file_name()).join(F.broadcast(names), FILE).drop(FILE)  # a row a shard
 
     def drop(self) -> None:
         remove(self.spark, self.root)
 
 
 def _file_name():
-    return F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file")
+    return F.element_at(F.split(F.input_file_name(), "/"), -1).alias(FILE)
 
 
 def tier(size: int, fan_in: int = FAN_IN) -> int:

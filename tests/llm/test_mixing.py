@@ -58,7 +58,7 @@ def test_mixture(spark, blocks):
 def test_mix_rows(spark):
     table = spark.createDataFrame([r[:3] for r in corpus()], "doc_id long, text string, source string")
     placed = placements(table).collect()
-    out = mix(table).collect()
+    out = mix(table.withColumns({"mix_block": table.doc_id, "mix_plan_source": table.source})).collect()
     assert len(out) == sum(len(r.mix_shards) for r in placed)
     assert Counter(r.mix_shard for r in out) == Counter(s for r in placed for s in r.mix_shards)
 

@@ -19,6 +19,7 @@ def test_round_trip_and_sizes(spark):
     at = store.located("doc_id").collect()
     assert len(at) == docs.count() and {r.shard for r in at} == set(range(len(last.shards)))
     assert len(store.versions()) == 1
+    assert store.located(*docs.columns).columns == [*docs.columns, "shard_", "shard_rows", "shard_bytes"] and store.located(*docs.columns).count() == docs.count()
 
 
 def test_arrivals_versions_and_conflicts(spark):
