@@ -40,7 +40,8 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     again = saved(components.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     if again.limit(1).count():
         twice = kept.join(again, "doc_id", "left_semi").select(*docs.columns)
-        first = twice.groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in ["text", *(c for c in docs.columns if c not in ("doc_id", "text"))]])).alias("row"))
+        order = F.struct(F.col("text").isNotNull(), F.coalesce("text", F.lit("")))
+        first = twice.groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), order).alias("row"))
         kept = kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("doc_id", "row.*").select(*docs.columns))
     return kept
 
