@@ -32,7 +32,7 @@ BINS = 512
 BITS = 4
 #: A range of ids holds about so many bytes of text, and there are MAX_RANGES at most.
 RANGE_BYTES = 4 << 20
-MAX_RANGES = 1024
+MAX_RANGES = 4096
 _TRIES = 16384
 _FIRST_TRIES = 24
 
