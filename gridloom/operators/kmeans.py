@@ -232,3 +232,14 @@ def fit_minibatch(rows: DataFrame, k: int, batch: int = 5000, max_iter: int = 20
         return model.centroids, max_iter
     finally:
         rows.unpersist()
+
+
+def minibatch_sweep(rows: DataFrame, ks: list[int], batch: int = 10_000, n_init: int = 3, max_iter: int = 100, tol: float = 3e-4, seed: int = SEED) -> dict[int, Fit]:
+    """For each K the best of ``n_init`` mini-batch fits by WCSS over all rows, the first of equals."""
+    out = {}
+    for k in ks:
+        runs = [fit_minibatch(rows, k, batch, max_iter, tol, seed + 1000 * r) for r in range(n_init)]
+        found = _pass(rows, {r: c for r, (c, _) in enumerate(runs)})
+        best = min(found, key=lambda r: (found[r][2], r))
+        out[k] = Fit(runs[best][0], found[best][2], int(found[best][1].sum()), runs[best][1])
+    return out

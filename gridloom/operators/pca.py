@@ -69,10 +69,11 @@ def _columns(genes: np.ndarray) -> np.ndarray:
     return where
 
 
-def fit(rows: DataFrame, genes: DataFrame, k: int = N_PCS) -> Components:
+def fit(rows: DataFrame, genes: DataFrame, k: int = N_PCS, fix_signs: bool = True) -> Components:
     """Components of packed ``rows`` (cell_id, idx, val) over the genes given.
 
-    NaN or infinite input raises.  Fewer than two cells or no genes raise.  Signs: the largest loading of each component is positive.
+    NaN or infinite input raises.  Fewer than two cells or no genes raise.  With
+    ``fix_signs`` the largest loading of each component is positive.
     """
     ids = np.array(sorted(r.gene_id for r in genes.select("gene_id").distinct().collect()), np.int64)
     if not len(ids):
@@ -115,7 +116,8 @@ def fit(rows: DataFrame, genes: DataFrame, k: int = N_PCS) -> Components:
     values, vectors = np.linalg.eigh(scatter)
     order = np.argsort(-values, kind="stable")[:k]
     vectors = vectors[:, order]
-    vectors *= np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(order))])
+    if fix_signs:
+        vectors *= np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(order))])
     return Components(ids, means, vectors, values[order] / (n - 1), float(np.trace(scatter)) / (n - 1))
 
 
@@ -139,6 +141,12 @@ def reordered(scores: DataFrame, variances: np.ndarray) -> DataFrame:
     return scores.select("cell_id", F.array(*[F.element_at("pc", int(i) + 1) for i in order]).alias("pc"))
 
 
+def explained(components: Components) -> list[tuple[int, float, float, float]]:
+    """(pc, eigenvalue, share of the kept components' variance, share of all variance), in order of eigenvalue."""
+    kept = float(components.eigenvalues.sum())
+    return [(k, float(v), float(v) / kept, float(v) / components.total) for k, v in enumerate(components.eigenvalues)]
+
+
 def variance_shares(scores: DataFrame) -> DataFrame:
     """(pc, variance, share): population variance of each component and its share of all kept components'."""
     long = scores.select(F.posexplode("pc").alias("pc", "x")).groupBy("pc").agg(F.var_pop("x").alias("variance"))

@@ -136,6 +136,25 @@ def gene_names_unique(spark, sf_dir):
     return qc.unique_names(D.customer_parts(spark, sf_dir).genes)
 
 
+@query(with_sql("SELECT gene_id, gene_name, mt FROM genes", "genes"))
+def gene_flags(spark, sf_dir):
+    return D.customer_parts(spark, sf_dir).genes.select("gene_id", "gene_name", "mt")
+
+
+@query(with_sql("SELECT (SELECT count(*) FROM (SELECT gene_id FROM filtered EXCEPT SELECT gene_id FROM kept_genes)) AS new_genes, (SELECT count(*) FROM (SELECT cell_id FROM filtered EXCEPT SELECT cell_id FROM kept_cells)) AS new_cells, (SELECT count(*) FROM (SELECT gene_id FROM genes EXCEPT SELECT gene_id FROM kept_genes)) AS dropped_genes", "filtered", "kept_genes", "kept_cells", "genes"))
+def subset_tests(spark, sf_dir):
+    m, out = D.customer_parts(spark, sf_dir), _filtered(spark, sf_dir)
+    outside = lambda a, b, key, name: a.select(key).distinct().join(b, key, "left_anti").agg(F.count("*").alias(name))
+    return outside(out.expr, out.genes, "gene_id", "new_genes").crossJoin(outside(out.expr, out.cells, "cell_id", "new_cells")).crossJoin(outside(m.genes, out.genes, "gene_id", "dropped_genes"))
+
+
+@query(with_sql("SELECT cell_id, c_mktsegment AS cluster FROM (SELECT c_custkey AS cell_id, c_mktsegment FROM customer) UNION ALL SELECT cell_id, CAST(cell_id % 3 AS VARCHAR) FROM (SELECT DISTINCT cell_id FROM kept_expr)", "kept_expr"))
+def label_strings(spark, sf_dir):
+    """Clusters as text, of two tables put one after the other."""
+    m, cells, _ = _qc(spark, sf_dir)
+    return m.cells.select("cell_id", "cluster").unionByName(cells.select("cell_id", F.pmod("cell_id", F.lit(3)).cast("string").alias("cluster")))
+
+
 # ---- sources
 
 
@@ -378,6 +397,14 @@ def hvg_top_n(spark, sf_dir):
     return rounded(features.top_genes(features.dispersions(_moments(spark, sf_dir)), 100), "normalized", digits=5)
 
 
+@query(with_sql("SELECT cell_id, l.gene_id, round(value, 6) AS value FROM logs l JOIN (SELECT gene_id FROM dispersions ORDER BY normalized DESC NULLS LAST, gene_id LIMIT 100) USING (gene_id)", "logs", "dispersions"))
+def hvg_matrix(spark, sf_dir):
+    """Log-normalised entries of the 100 most variable genes: what PCA reads."""
+    m, logs = _logs(spark, sf_dir)
+    top = features.top_genes(features.dispersions(features.gene_moments(logs, m.genes, m.cells.agg(F.count("*")))), 100)
+    return rounded(matrix.select_genes(logs, top).select("cell_id", "gene_id", "value"), "value")
+
+
 @query(with_sql("SELECT gene_id, round(mean, 6) AS mean FROM brand_means", "brand_means"))
 def column_means(spark, sf_dir):
     m = D.customer_brands(spark, sf_dir)
@@ -416,6 +443,12 @@ def pca_total_variance(spark, sf_dir):
     return spark.createDataFrame([(round(float(c.eigenvalues.sum()), 4),)], "total_variance double")
 
 
+@query()
+def pca_explained(spark, sf_dir):
+    _, c = _components(spark, sf_dir)
+    return spark.createDataFrame(pca.explained(c), "pc int, eigenvalue double, share_of_kept double, share_of_all double")
+
+
 # ---- clustering
 
 
@@ -540,6 +573,12 @@ def kmeans_sweep(spark, sf_dir):
     return spark.createDataFrame([(k, f.wcss, f.wcss / f.n, f.n_iters) for k, f in fits.items()], "k int, wcss double, wcss_n double, n_iters int")
 
 
+@query()
+def kmeans_minibatch_sweep(spark, sf_dir):
+    fits = kmeans.minibatch_sweep(D.vectors(spark, sf_dir), [1, 2, 4], 200, 2, 10)
+    return spark.createDataFrame([(k, f.wcss, f.n_iters) for k, f in fits.items()], "k int, wcss double, n_iters int")
+
+
 @query()
 def uniform_sample(spark, sf_dir):
     return kmeans.uniform_sample(D.vectors(spark, sf_dir), 200).select("cell_id", "cluster")

@@ -65,6 +65,11 @@ def stage_report(durations: DataFrame) -> str:
     return "\n".join([*lines, f"{'total':<32}{sum(r.seconds for r in rows):>12.3f} s"])
 
 
+def run_config(spark: SparkSession, name: str, **settings: object) -> DataFrame:
+    """A one-row table (name, settings map<string,string>) of a run's configuration."""
+    return spark.createDataFrame([(name, {k: str(v) for k, v in settings.items()})], "name string, settings map<string,string>")
+
+
 def guarded(spark: SparkSession, stage: str, load) -> tuple[DataFrame | None, DataFrame]:
     """What ``load()`` gives, and a report row: OK, or FALHA with the reason instead of an exception."""
     schema = "stage string, check string, status string, detail string"
