@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def customer_parts(spark: SparkSession, sf_dir: str) -> Matrix:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").cast("int").alias("gene_id"), "l_quantity")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("cell_id"))
-    expr = lines.join(orders, "l_orderkey").groupBy("cell_id", "gene_id").agg(F.sum("l_quantity").alias("value"))
+    # dealt by cell alone: the sums here, and sums and joins by cell later, then need no other exchange
+    expr = lines.join(orders, "l_orderkey").repartition("cell_id").groupBy("cell_id", "gene_id").agg(F.sum("l_quantity").alias("value"))
     cells = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("cell_id"), F.col("c_name").alias("barcode"), F.col("c_mktsegment").alias("cluster"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("gene_id"), F.col("p_name").alias("gene_name"), F.col("p_brand").alias("gene_ref"))
     return Matrix(expr, cells, flag_mt(parts, PREFIX))
