@@ -19,6 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -121,11 +122,14 @@ def _format(shared, segment: int):
         def encoded() -> pa.RecordBatch:
             nonlocal ready, held
             codes = tokenizer.encode_batch([r[2] for r in ready], add_special_tokens=False)
-            offsets = [np.array(c.offsets, np.int32).reshape(-1, 2) for c in codes]
+            bounds = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
+            lists = lambda flat, kind: pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, kind))
+            offsets = np.fromiter(chain.from_iterable(chain.from_iterable(c.offsets for c in codes)), np.int32, 2 * int(bounds[-1])).reshape(-1, 2)
+            starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
             out = pa.RecordBatch.from_pydict({
                 "conv_id": pa.array([r[0] for r in ready], pa.int64()), "segment": pa.array([r[1] for r in ready], pa.int32()), "formatted": [r[2] for r in ready], "n_turns": pa.array([r[3] for r in ready], pa.int32()),
-                "token_ids": pa.array([c.ids for c in codes], pa.list_(pa.int32())), "token_starts": pa.array([o[:, 0] for o in offsets], pa.list_(pa.int32())), "token_ends": pa.array([o[:, 1] for o in offsets], pa.list_(pa.int32())),
-                "loss": pa.array([loss_mask(o[:, 0], o[:, 1], r[4]) for o, r in zip(offsets, ready, strict=True)], pa.list_(pa.bool_())),
+                "token_ids": lists(np.fromiter(chain.from_iterable(c.ids for c in codes), np.int32, int(bounds[-1])), pa.int32()), "token_starts": lists(starts, pa.int32()), "token_ends": lists(ends, pa.int32()),
+                "loss": lists(np.concatenate([loss_mask(starts[a:b], ends[a:b], r[4]) for a, b, r in zip(bounds[:-1], bounds[1:], ready, strict=True)]), pa.bool_()),
             })
             ready, held = [], 0
             return out
@@ -188,14 +192,14 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     for batch in batches:
-        for k in range(batch.num_rows):
-            get = lambda name: batch.column(name)[k]  # noqa: B023, E731
-            if get("segment").as_py() == 0:
+        segment, conv = batch.column("segment").to_pylist(), batch.column("conv_id").to_pylist()
+        tokens = {c: (batch.column(c).offsets.to_numpy(), batch.column(c).values.to_numpy(zero_copy_only=False)) for c in ("token_starts", "token_ends", "loss")}
+        for k, formatted in enumerate(batch.column("formatted").to_pylist()):
+            if segment[k] == 0:
                 if state:
                     close()
-                state = [get("conv_id").as_py(), 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-            formatted = get("formatted").as_py()
-            turns, masked = read_back(formatted, *(np.asarray(get(c).values.to_numpy(zero_copy_only=False)) for c in ("token_starts", "token_ends", "loss")))
+                state = [conv[k], 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+            turns, masked = read_back(formatted, *(values[at[k] : at[k + 1]] for at, values in tokens.values()))
             state[1] += len(turns)
             for role, text in turns:
                 state[2].update(f"{role}\n{text}\n".encode())
