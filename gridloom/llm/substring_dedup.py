@@ -9,20 +9,23 @@ the number of places of the window.  The steps:
 1. One pass over the texts counts the anchor places of each partition in a
    count-min sketch with counters that stop at 2; sums of these sketches (also
    stopping at 2) are merged by slices.
-2. A second pass emits, under 128-bit hashes of their words, only windows whose
-   anchor is estimated to repeat.  Grouping them exactly tells the repeated ones;
-   none is lost, as the estimate is never too low.
-3. Covered words are removed from the texts that have repeated windows.
+2. A second pass gives the anchor places estimated to repeat.  Grouping them
+   exactly drops those that don't: the sketch keeps most of them from being
+   shuffled while it is large enough, and where it is full this costs a shuffle of all
+   anchors, about a third of the text's size.
+3. The texts that have repeated anchors emit, under 128-bit hashes of their words, the
+   windows of these anchors alone.  Grouping them exactly tells the
+   repeated ones; none is lost, as no estimate or count is too low.
+4. Covered words are removed from these texts.
 
 Texts that occur more than once are told by a 128-bit hash first: every window
-of theirs repeats, so nothing of them needs to be grouped, and each partition
-emits a text once.  A very common window costs one row for each text that has
+of theirs repeats, so nothing of them needs to be grouped, and one of them
+emits its windows for the others' sake.  A very common window costs one row for each text that has
 it; counts are summed before they are shuffled, and the join back to the places
 is an ordinary sort-merge join that adaptive execution splits at hot windows.
 
 Limits: the sketch has at most ``max_cells`` cells a row (64 MB of counters in
-a worker).  Where anchors outnumber the cells the filter lets more windows
-through, which costs shuffle and never changes the result.
+a worker).  A smaller or full sketch never changes the result.
 """
 
 from __future__ import annotations
@@ -47,6 +50,7 @@ SLICE = 1 << 20
 MAX_CELLS = 1 << 25
 
 _PLACES = "kind int, rid long, tag int, doc_id long, k1 long, k2 long, n int, sha binary, slice int, cells binary"
+_ANCHORS = "gram long, rid long, place long"
 _WINDOWS = "w1 long, w2 long, rid long, place long"
 
 
@@ -117,6 +121,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _suspects(sketch, bits: int, window: int):
+    """Anchor places estimated to repeat, of each text once in a partition; a place has the text's tag in its high half."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = max(1, (1 << bits) // 8)
         repeated = np.frombuffer(sketch.value, np.uint8).reshape(SKETCH_ROWS, size)
@@ -125,19 +131,42 @@ def _suspects(sketch, bits: int, window: int):
             for part in K.slices(batch, "text"):
                 words = K.Words(part.column("text"))
                 h = words.hashes()
-                starts, places, grams = _anchors(words, h, window)
-                hit = np.ones(len(places), bool)
+                _, places, grams = _anchors(words, h, window)
+                places = np.unique(places)
+                text = np.searchsorted(words.row, places, "right") - 1
+                rid, tag, k1, _ = _keys(part, words, h)
+                hit = np.array([not (x in seen or seen.add(x)) for x in k1.tolist()], bool)[text]
                 for row, cells in zip(repeated, _cells(grams[places], bits), strict=True):
                     hit &= (row[cells >> 3] >> (cells & 7).astype(np.uint8) & 1).astype(bool)
-                rid, tag, k1, _ = _keys(part, words, h)
-                fresh = np.array([not (x in seen or seen.add(x)) for x in k1.tolist()], bool)
-                text = np.repeat(np.arange(part.num_rows), words.counts())
-                hit &= fresh[text[starts]]
-                starts = starts[hit]
+                places, text = places[hit], text[hit]
+                if len(places):
+                    yield pa.RecordBatch.from_pydict({"gram": K.signed(grams[places]), "rid": rid[text], "place": (tag[text].astype(np.int64) << 32) | (places - words.row[text])})
+
+    return run
+
+
+def _marked(part: pa.RecordBatch, column: str, words: K.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a slice that ``column``'s lists point at; and which rows' texts are those that their tag means."""
+    same = (words.whole(words.hashes()) >> np.uint64(33)).astype(np.int64) == np.asarray(part.column("tag"))
+    lists = part.column(column)
+    row = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
+    return (words.row[row] + np.asarray(lists.flatten()))[same[row]], same
+
+
+def _emit(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                words = K.Words(part.column("text"))
+                h = words.hashes()
+                starts, places, _ = _anchors(words, h, window)
+                marked = np.zeros(len(words) + 1, bool)
+                marked[_marked(part, "anchors", words)[0]] = True
+                starts = starts[marked[places]]
                 if len(starts):
-                    text = text[starts]
-                    place = (tag[text].astype(np.int64) << 32) | (starts - words.row[text])
-                    yield pa.RecordBatch.from_pydict({"w1": K.signed(words.windows(h, window)[starts]), "w2": K.signed(words.windows(words.hashes(1), window, 1)[starts]), "rid": rid[text], "place": place})
+                    text = np.searchsorted(words.row, starts, "right") - 1
+                    place = (np.asarray(part.column("tag"))[text].astype(np.int64) << 32) | (starts - words.row[text])
+                    yield pa.RecordBatch.from_pydict({"w1": K.signed(words.windows(h, window)[starts]), "w2": K.signed(words.windows(words.hashes(1), window, 1)[starts]), "rid": np.asarray(part.column("rid"))[text], "place": place})
 
     return run
 
@@ -147,15 +176,10 @@ def _cut(window: int):
         for batch in batches:
             for part in K.slices(batch, "text"):
                 words = K.Words(part.column("text"))
-                tag = (words.whole(words.hashes()) >> np.uint64(33)).astype(np.int64)
-                same = tag == np.asarray(part.column("tag"))
+                first, same = _marked(part, "places", words)
                 covered = np.zeros(len(words) + 1, np.int64)
-                lists = part.column("places")
-                at = np.repeat(np.arange(part.num_rows), np.asarray(lists.value_lengths()))
-                place = np.asarray(lists.flatten())
-                place, at = place[same[at]], at[same[at]]
-                np.add.at(covered, words.row[at] + place, 1)
-                np.add.at(covered, words.row[at] + place + window, -1)
+                np.add.at(covered, first, 1)
+                np.add.at(covered, first + window, -1)
                 kept = np.cumsum(covered)[:-1] == 0
                 data, bounds = K.joined(words, kept)
                 data = data.tobytes()
@@ -199,22 +223,34 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_
         sketch[s >> 16, start : start + len(cells)] = np.frombuffer(cells, np.uint8)
     shared = spark.sparkContext.broadcast(sketch.tobytes())
 
-    def suspects() -> DataFrame:
-        return docs.mapInArrow(_suspects(shared, bits, window), _WINDOWS)
-
-    repeated = suspects().groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
-    hits = suspects().join(repeated, ["w1", "w2"]).groupBy("rid", F.shiftright("place", 32).cast("int").alias("tag")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias("places"))
-    hits = saved(hits, "hits")
     places = survey.filter("kind = 0").drop("kind", "slice", "cells")
     copies = places.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1")
     places = places.join(copies, ["k1", "k2"], "left")
+
+    def by_text(marks: DataFrame, name: str) -> DataFrame:
+        """(rid, tag, ``name``): the places of each text."""
+        return marks.groupBy("rid", F.shiftright("place", 32).cast("int").alias("tag")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias(name))
+
+    anchors = saved(docs.mapInArrow(_suspects(shared, bits, window), _ANCHORS), "anchors")
+    repeated = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    anchored = saved(by_text(anchors.join(repeated, "gram"), "anchors"), "anchored")
+    # of equal texts that several partitions have given, one is enough
+    equal = anchored.select("rid", "tag").join(places.filter("copies is not null").select("rid", "tag", "k1", "k2").distinct(), ["rid", "tag"])
+    first = equal.groupBy("k1", "k2").agg(F.min("rid").alias("first"))
+    spare = equal.join(first, ["k1", "k2"]).filter("rid <> first").select("rid", "tag")
+    anchored = saved(anchored.join(spare, ["rid", "tag"], "left_anti"), "anchored")
     texts = docs.select(F.col("doc_id").alias("rid"), "text").filter("rid is not null")
-    texts = near_members(texts, "rid", hits.select("rid"), hits.count())
-    lone = places.filter("doc_id is null and copies is null").select("rid", "tag")  # a null doc_id: found by its text's hash
-    if docs.filter("doc_id is null").limit(1).count():
-        keyed = docs.filter("doc_id is null").mapInArrow(_keyed, "rid long, tag int, text string").join(lone, ["rid", "tag"]).select("rid", "text")
-        texts = texts.unionByName(keyed)
-    cut = hits.join(texts, "rid").mapInArrow(_cut(window), "rid long, tag int, cut long, cut_sha binary, kept_text string")
+    texts = near_members(texts, "rid", anchored.select("rid"), anchored.count())
+    if docs.filter("doc_id is null").limit(1).count():  # a null doc_id: found by its text's hash
+        texts = texts.unionByName(docs.filter("doc_id is null").mapInArrow(_keyed, "rid long, text string"))
+    texts = saved(anchored.join(texts, "rid").select("rid", "tag", "text", "anchors"), "texts")
+
+    def windows() -> DataFrame:
+        return texts.mapInArrow(_emit(window), _WINDOWS)
+
+    repeated = windows().groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    hits = by_text(windows().join(repeated, ["w1", "w2"]), "places")
+    cut = hits.join(texts.select("rid", "tag", "text"), ["rid", "tag"]).mapInArrow(_cut(window), "rid long, tag int, cut long, cut_sha binary, kept_text string")
     if not with_text:
         cut = cut.drop("kept_text")
     whole = F.col("copies").isNotNull() & (F.col("n") >= window)
@@ -233,5 +269,5 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in K.slices(batch, "text"):
             words = K.Words(part.column("text"))
-            rid, tag, _, _ = _keys(part, words, words.hashes())
-            yield pa.RecordBatch.from_pydict({"rid": rid, "tag": tag, "text": part.column("text").cast(pa.string())})
+            rid, _, _, _ = _keys(part, words, words.hashes())
+            yield pa.RecordBatch.from_pydict({"rid": rid, "text": part.column("text").cast(pa.string())})

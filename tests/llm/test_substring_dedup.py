@@ -50,5 +50,15 @@ def test_full_sketch_loses_nothing(spark):
     assert got == brute(rows, 35)
 
 
+@pytest.mark.parametrize("parts", [1, 2, 5])
+def test_copies_give_their_windows_to_others(spark, parts):
+    rng = random.Random(7)
+    passage = rng.choices([f"p{k}" for k in range(900)], k=60)
+    copied = " ".join(rng.choices("uvwxyz", k=20) + passage)
+    rows = [(i, copied) for i in (9, 7, 2, 8, 1, 30)] + [(100 + i, " ".join([f"own{i}"] * 10 + passage[i : i + 40])) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).repartition(parts, "doc_id")
+    assert sorted((tuple(r) for r in substring_dedup(docs).collect()), key=str) == brute(rows, 35)
+
+
 def test_empty(spark):
     assert substring_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
