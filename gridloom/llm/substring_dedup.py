@@ -232,7 +232,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_
         return marks.groupBy("rid", F.shiftright("place", 32).cast("int").alias("tag")).agg(F.collect_list(F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")).alias(name))
 
     anchors = saved(docs.mapInArrow(_suspects(shared, bits, window), _ANCHORS), "anchors")
-    repeated = anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    # written first: a join of two plain exchanges is one that adaptive execution can split at a hot key
+    repeated = saved(anchors.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"), "grams")
     anchored = saved(by_text(anchors.join(repeated, "gram"), "anchors"), "anchored")
     # of equal texts that several partitions have given, one is enough
     equal = anchored.select("rid", "tag").join(places.filter("copies is not null").select("rid", "tag", "k1", "k2").distinct(), ["rid", "tag"])
@@ -248,7 +249,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_
     def windows() -> DataFrame:
         return texts.mapInArrow(_emit(window), _WINDOWS)
 
-    repeated = windows().groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    repeated = saved(windows().groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"), "windows")
     hits = by_text(windows().join(repeated, ["w1", "w2"]), "places")
     cut = hits.join(texts.select("rid", "tag", "text"), ["rid", "tag"]).mapInArrow(_cut(window), "rid long, tag int, cut long, cut_sha binary, kept_text string")
     if not with_text:
