@@ -1,10 +1,12 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Fixed masks pick some of 12 consecutive words and ignore the others; the hashes
+Fixed masks pick some of a few consecutive words and ignore the others; the hashes
 of the picked words of every position of the benchmark items and of the training
 texts are joined.  Around each hit the item is laid on the text without gaps, and
 the longest stretch in which enough words agree decides, so that a few
-substituted words hide nothing.
+substituted words hide nothing: any stretch of STRETCH words or more (12 for an item
+of 12) of which AGREE percent agree holds a hit.  Hits without so dense a
+window around them are put aside before that, all at once.
 
 The benchmark side is held in memory by each worker: its size is counted first,
 and a benchmark of more than ``max_words`` words is dealt into several parts, each
@@ -24,15 +26,18 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import kernels as K
 
-# The masks, 1 where a word counts.
-MASKS = ("110101110011", "111001011101", "101110100111")
-SPAN = 12
+# The masks, 1 where a word counts.  The words that agree in a stretch of 12 words or more, 80 percent
+# of them or more, lie in runs between the others; one run has four words, but for a stretch of 15 in four runs of three.
+MASKS = ("1111", "1110111")
 #: Items of fewer words than this carry no evidence; from here to SPAN - 1 words the whole item must occur.
+SPAN = 12
 SHORTEST = 5
 #: A stretch of so many words (or the whole item, if shorter) of which AGREE percent agree is contamination.
 STRETCH = 13
 AGREE = 80
 MAX_WORDS = 500_000
+#: So many hits are looked at together.
+HITS = 1 << 14
 
 _FOUND = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_same long"
 _MUL = np.uint64(0xC6A4A7935BD1E995)
@@ -69,7 +74,7 @@ def _index(ids: list[int], texts: list[str | None]) -> Items:
     seeds, places = [], []
     for mask in MASKS:
         found = _seeded(h, mask)
-        at = np.flatnonzero(K.inside(words.row, SPAN)[: len(found)])
+        at = np.flatnonzero((K.inside(words.row, len(mask)) & np.repeat(n >= SPAN, n))[: len(found)])
         seeds.append(found[at])
         places.append(at)
     short = tuple(sorted({int(x) for x in n if SHORTEST <= x < SPAN}))
@@ -97,6 +102,27 @@ def longest_stretch(same: np.ndarray, agree: int = AGREE) -> tuple[int, int]:
     return (begin + int(inner[0]), begin + int(inner[-1]) + 1) if len(inner) else (0, 0)
 
 
+def _dense(h: np.ndarray, words: K.Words, at: np.ndarray, items: Items, place: np.ndarray, stretch: int, agree: int) -> np.ndarray:
+    """Which hits lie in a window of which ``agree`` percent agree, of SPAN words or more and fewer than twice ``stretch``.
+
+    A longer stretch that agrees as much has such a window: one half of it agrees as much.
+    """
+    reach = 2 * stretch - 1
+    steps = np.arange(-reach, reach + 1)
+    text, item = np.searchsorted(words.row, at, "right") - 1, np.searchsorted(items.row, place, "right") - 1
+    low = np.maximum(words.row[text] - at, items.row[item] - place)[:, None]
+    high = np.minimum(words.row[text + 1] - at, items.row[item + 1] - place)[:, None]
+    laid = (steps >= low) & (steps < high)
+    same = laid & (h[np.where(laid, at[:, None] + steps, 0)] == items.words[np.where(laid, place[:, None] + steps, 0)])
+    total = np.zeros((len(at), len(steps) + 1), np.int32)
+    np.cumsum(same, axis=1, out=total[:, 1:])
+    found = np.zeros(len(at), bool)
+    for length in range(min(SPAN, stretch), reach + 1):
+        first = np.arange(reach - length + 1, reach + 1)  # windows that hold the hit's first word
+        found |= (100 * (total[:, first + length] - total[:, first]) >= agree * length).any(axis=1)
+    return found
+
+
 def _matches(part: pa.RecordBatch, items: Items, stretch: int, agree: int) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, doc_start, item_start, n_words, n_same) of each contaminated row of a slice, the best one for each item."""
     words = K.Words(part.column("text"), lower=True)
@@ -116,9 +142,18 @@ def _matches(part: pa.RecordBatch, items: Items, stretch: int, agree: int) -> li
     at, low, many = np.concatenate(at), np.concatenate(low), np.concatenate(many)
     if not len(at):
         return []
-    which = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-    place = items.places[which]
-    at = np.repeat(at, many)
+    found = []
+    for one in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1):
+        which = np.repeat(low[one] - np.cumsum(many[one]) + many[one], many[one]) + np.arange(many[one].sum())
+        place, where = items.places[which], np.repeat(at[one], many[one])
+        for a in range(0, len(where), HITS):
+            p, w = place[a : a + HITS], where[a : a + HITS]
+            size = np.diff(items.row)[np.searchsorted(items.row, p, "right") - 1]
+            kept = (size < SPAN) | _dense(h, words, w, items, p, stretch, agree)
+            found.append((w[kept], p[kept]))
+    at, place = (np.concatenate(x) for x in zip(*found, strict=True))
+    if not len(at):
+        return []
     text = np.searchsorted(words.row, at, "right") - 1
     item = np.searchsorted(items.row, place, "right") - 1
     shift = (at - words.row[text]) - (place - items.row[item])

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -82,3 +83,30 @@ def test_empty(spark):
     assert contaminated(none, some).collect() == []
     docs = spark.createDataFrame([(1, "a " * 40)], "doc_id long, text string")
     assert contaminated(docs, some.limit(0)).collect() == [] and decontaminate(docs, some.limit(0)).count() == 1
+
+
+def test_every_placement_of_substitutions(spark):
+    """Edited passages alone in their text, wherever the edits fall, against a rule that knows no masks."""
+    rng = random.Random(1)
+    item = [f"i{k}" for k in range(40)]
+    patterns = [[k not in gone for k in range(n)] for n, m in ((13, 2), (14, 2), (15, 3)) for gone in itertools.combinations(range(1, n - 1), m)]
+    for n, m in ((16, 3), (20, 4), (25, 5), (30, 6), (40, 8), (13, 3), (16, 4), (25, 6)):
+        for _ in range(60):
+            gone = set(rng.sample(range(n), m))
+            patterns.append([k not in gone for k in range(n)])
+    docs, want = [], set()
+    for d, same in enumerate(patterns):
+        a = rng.randrange(len(item) - len(same) + 1)
+        docs.append((d, " ".join(["before"] * (d % 3) + [item[a + k] if s else f"x{k}" for k, s in enumerate(same)] + ["after"] * (d % 2))))
+        if any(same[x] and same[y - 1] and 100 * sum(same[x:y]) >= AGREE * (y - x) for x in range(len(same)) for y in range(x + STRETCH, len(same) + 1)):
+            want.add(d)
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert len(want) > 400 and len(want) < len(docs)
+    assert {r.doc_id for r in got} == want and len(got) == len(want)
+
+
+def test_stretch_of_an_item_of_twelve(spark):
+    item = [f"i{k}" for k in range(12)]
+    docs = [(10 * a + b, " ".join("x" if k in (a, b) else w for k, w in enumerate(item))) for a in range(1, 11) for b in range(a, 11)]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
+    assert sorted(r.doc_id for r in got.collect()) == sorted(d for d, _ in docs)
