@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import decontaminate as contamination
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
-from gridloom.llm.mixing import placements
+from gridloom.llm.mixing import mix
 from gridloom.llm.scratch import saved
 from gridloom.llm.sharding import shard
 
@@ -52,8 +52,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture of sources by weight: each document as often as it is taken."""
-    return placements(docs).select(*docs.columns, F.explode("mix_shards").alias("mix_shard")).drop("mix_shard")
+    """The mixture of sources by weight: each document as often as it is taken, dealt to the drawn shards and shuffled within them."""
+    return mix(docs).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

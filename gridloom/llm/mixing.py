@@ -134,7 +134,8 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture: ``docs``' rows, each as often as it is taken, with its mix_shard, shuffled within shards."""
     seed = options.get("seed", SEED)
     placed = placements(docs, **options).select(*[c for c in docs.columns if c not in RESERVED], F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
-    return placed.repartition("mix_shard", F.pmod(F.xxhash64("doc_id", "mix_copy"), F.lit(64))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed), F.lit(2), "doc_id", "mix_copy"))
+    # the text as well: rows that repeat an id, or have none, are dealt and shuffled too
+    return placed.repartition("mix_shard", F.pmod(F.xxhash64("doc_id", "mix_copy", "text"), F.lit(64))).sortWithinPartitions("mix_shard", F.xxhash64(F.lit(seed), F.lit(2), "doc_id", "mix_copy", "text"))
 
 
 def _generator(seed: int, *parts: object) -> np.random.Generator:

@@ -40,7 +40,7 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = F.col("mix_size") * F.size("mix_shards")
-    return placements(_table(spark, sf_dir, "documents")).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"))
+    return placements(_table(spark, sf_dir, "documents")).select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), taken.alias("taken"), "mix_shards")
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

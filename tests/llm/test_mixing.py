@@ -6,7 +6,8 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from gridloom.llm.mixing import default_weights, mix, placements, split, targets
+from gridloom.llm.mixing import SHARDS, default_weights, mix, placements, split, targets
+from gridloom.llm.queries import op4_mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,3 +67,11 @@ def test_mix_rows(spark):
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert placements(none).collect() == [] and mix(none).collect() == []
+
+
+def test_query_tells_shards(spark, tmp_path):
+    table = spark.createDataFrame([r[:3] for r in corpus()], "doc_id long, text string, source string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    got = op4_mixing(spark, str(tmp_path)).collect()
+    assert all(r.taken == r["size"] * len(r.mix_shards) for r in got)
+    assert {s for r in got for s in r.mix_shards} == set(range(SHARDS))

@@ -1,3 +1,4 @@
+import itertools
 import random
 from collections import Counter
 
@@ -58,3 +59,16 @@ def test_empty(spark, tables, tmp_path):
     spark.read.parquet(f"{tables[0]}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{tables[0]}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_mixture_is_shuffled(spark):
+    """Sources that lie together in the input, and copies of a document, are apart in the mixture's files."""
+    rows = [(1000 * s + i, "w " * 20 + f"{s} {i}", f"s{s}") for s in range(3) for i in range(1500)]
+    docs = saved(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), "sorted")
+    out = saved(corpus_pipeline.mixing(spark, docs, ""), "mixed").collect()
+    share = Counter(r.source for r in out)
+    for k in range(0, len(out) - 499, 500):
+        part = Counter(r.source for r in out[k : k + 500])
+        assert all(abs(part[s] / 500 - share[s] / len(out)) < 0.1 for s in share)
+    near = sum(a.doc_id == b.doc_id for a, b in itertools.pairwise(out))
+    assert max(Counter(r.doc_id for r in out).values()) > 1 and near < 20
