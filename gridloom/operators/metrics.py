@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# Fixed value: rows of the sample whose pairs make the Euclidean silhouette.
+SILHOUETTE_ROWS = 5000
+
 
 def wcss(assigned: DataFrame) -> DataFrame:
     """One row: wcss and wcss_n of (cell_id, cluster, distance) rows."""
@@ -43,7 +46,8 @@ def silhouettes_euclidean(rows: DataFrame, labels: DataFrame) -> DataFrame:
     points = rows.join(labels.select("cell_id", "cluster"), "cell_id").select("cell_id", "cluster", "pc")
     others = points.toDF("o_id", "o_cluster", "o_pc")
     distance = F.sqrt(F.aggregate(F.zip_with("pc", "o_pc", lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda t, v: t + v))
-    means = points.join(others, F.col("cell_id") != F.col("o_id")).groupBy("cell_id", "cluster", "o_cluster").agg(F.avg(distance).alias("mean"))
+    # the sample is sent to tasks of some rows each: a sample drawn by a limit is in one partition
+    means = points.repartition(32, "cell_id").join(F.broadcast(others), F.col("cell_id") != F.col("o_id")).groupBy("cell_id", "cluster", "o_cluster").agg(F.avg(distance).alias("mean"))
     own = F.col("cluster") == F.col("o_cluster")
     by = means.groupBy("cell_id", "cluster").agg(F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b"))
     top = F.greatest("a", "b")

@@ -606,11 +606,18 @@ def silhouette_sq(spark, sf_dir):
 
 @query(with_sql("SELECT cell_id, cluster, round(CASE WHEN a IS NULL OR b IS NULL OR greatest(a, b) <= 0 THEN 0 ELSE (b - a) / greatest(a, b) END, 6) AS s FROM (SELECT cell_id, cluster, max(m) FILTER (other = cluster) AS a, min(m) FILTER (other <> cluster) AS b FROM (SELECT cell_id, cluster, other, avg(sqrt(t)) AS m FROM (SELECT a.cell_id, a.cluster, b.cell_id AS b_id, b.cluster AS other, sum((a.x - b.x) * (a.x - b.x)) AS t FROM points a JOIN points b USING (dim) WHERE a.cell_id < 200 AND b.cell_id < 200 AND a.cell_id <> b.cell_id GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3) GROUP BY 1, 2)", "points"))
 def silhouette_euclid_sample(spark, sf_dir):
-    """The sampled Euclidean silhouette, on the sample of ids below 200."""
+    """A fixed small case of silhouette_euclid that SQL can check: ids below 200 alone."""
     rows = D.vectors(spark, sf_dir).filter("cell_id < 200")
     return rounded(metrics.silhouettes_euclidean(rows.drop("cluster"), rows), "s")
 
 
+@query()
+def silhouette_euclid(spark, sf_dir):
+    """The Euclidean silhouette of the reference: pairs of a uniform sample of SILHOUETTE_ROWS rows (all, if fewer)."""
+    rows = kmeans.uniform_sample(D.vectors(spark, sf_dir), metrics.SILHOUETTE_ROWS)
+    return rounded(metrics.silhouettes_euclidean(rows.drop("cluster"), rows), "s")
+
+
 # A recorded curve of WCSS/n over K; its elbow is 6.
 CURVE = ((2, 70.793541), (4, 59.121082), (6, 50.814468), (8, 46.022), (10, 43.774911), (12, 41.437287), (14, 39.423346), (16, 37.725691))
 CURVE_SQL = "(VALUES " + ", ".join(f"({k}, {w}::DOUBLE)" for k, w in CURVE) + ") t(k, wcss)"
