@@ -361,12 +361,19 @@ POOL_WIDTHS = (1, 21, 26)
     ).replace(",\nsmall AS", f",\ngenes AS ({SQL['genes']}),\nbrands AS ({SQL['brands']}),\nbrand AS ({SQL['brand_expr']}),\nsmall AS")
 )
 def pool_medians(spark, sf_dir):
-    """Pools of small blocks of the brand matrix: of the cells with ids up to 150, a fixed small case that SQL can check."""
+    """A fixed small case of pool_medians_all that SQL can check: cells with ids up to 150 of the brand matrix, three widths."""
     m = D.customer_brands(spark, sf_dir)
     blocked = normalize.blocks(m.cells.filter("cell_id <= 150"), 30).join(m.expr.select("cell_id").distinct(), "cell_id", "left_semi")
     return rounded(normalize.pool_table(m.expr, blocked, POOL_WIDTHS), "ratio")
 
 
+@query()
+def pool_medians_all(spark, sf_dir):
+    """Pools of all cells with entries, in the blocks and of the widths of deconv_size_factors."""
+    m, blocked = _blocked(spark, sf_dir)
+    return rounded(normalize.pool_table(m.expr, blocked, (1, *normalize.WIDTHS)), "ratio")
+
+
 @query()
 def deconv_size_factors(spark, sf_dir):
     m, blocked = _blocked(spark, sf_dir)

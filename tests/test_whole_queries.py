@@ -2,6 +2,7 @@
 
 import math
 import random
+import statistics
 
 import pytest
 
@@ -32,3 +33,28 @@ def test_silhouette_euclid(spark, tmp_path, monkeypatch, most):
     assert len(got) == min(most, 180) and max(got) > 300
     want = silhouettes([p for p in points if p[0] in got])
     assert all(math.isclose(got[i], want[i], abs_tol=2e-6) for i in want)
+
+
+def test_pool_medians_all(spark, tmp_path):
+    rng = random.Random(5)
+    cells = [(c, f"c{c}", "a" if c < 640 else "b") for c in range(400, 670)]
+    counts = {(c, p): float(rng.randrange(1, 9)) for c, *_ in cells for p in range(9) if rng.random() < 0.6 or p == c % 9}
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save(cells, "c_custkey long, c_name string, c_mktsegment string", "customer")
+    save([(p, f"p{p}", "x") for p in range(9)], "p_partkey long, p_name string, p_brand string", "part")
+    save([(c, c) for c, *_ in cells], "o_orderkey long, o_custkey long", "orders")
+    save([(c, p, v) for (c, p), v in counts.items()], "l_orderkey long, l_partkey long, l_quantity double", "lineitem")
+    got = QUERIES["pool_medians_all"](spark, str(tmp_path)).collect()
+    want = {}
+    for cluster, block, ids in (("a", 0, range(400, 600)), ("a", 1, range(600, 640)), ("b", 0, range(640, 670))):
+        lib = {c: sum(counts.get((c, p), 0) for p in range(9)) for c in ids}
+        mean = sum(lib.values()) / len(lib)
+        z = {c: [counts.get((c, p), 0) * mean / lib[c] for p in range(9)] for c in ids}
+        ref = [sum(x[p] for x in z.values()) / len(z) for p in range(9)]
+        ring = sorted(ids, key=lambda c: (lib[c], c))
+        for width in (1, *(w for w in range(21, 102, 5) if w <= len(ring))):
+            for start in range(len(ring)):
+                pool = [ring[(start + k) % len(ring)] for k in range(width)]
+                want[cluster, block, start, width] = statistics.median(sum(z[c][p] for c in pool) / ref[p] for p in range(9))
+    assert {(r.cluster, r.block, r.start, r.width) for r in got} == set(want) and len(got) == len(want)
+    assert all(math.isclose(r.ratio, want[r.cluster, r.block, r.start, r.width], abs_tol=2e-6) for r in got)
