@@ -3,9 +3,9 @@
 Each source's documents are dealt by a hash of their ids into ``blocks`` blocks.
 Only the blocks' word sums, at most ``blocks`` rows a source, reach the driver.  A
 source with target T and size N is taken whole floor(T / N) times; of the last
-part, permuted blocks are taken whole until the next one would pass the target, and
-of that one block permuted documents (a window over this block alone).  So the hot
-source is never ordered as a whole.
+part, permuted blocks are taken whole where they don't pass the target, and of one of
+the others, the one whose longest document is shortest, permuted documents, long ones
+last (a window over this block alone).  So the hot source is never ordered as a whole.
 
 The taken block copies of all sources, as exact counts, are then divided among
 output shards: at each node of a binary tree over the shards the left half
@@ -81,10 +81,12 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
     docs = docs.drop(*RESERVED)
     block = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(blocks)).cast("int")
     sized = docs.withColumns({"mix_size": F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long"), "mix_block": block})
-    sums = sized.groupBy("source", "mix_block").agg(F.sum("mix_size").alias("words")).collect()  # at most ``blocks`` rows a source
+    sums = sized.groupBy("source", "mix_block").agg(F.sum("mix_size").alias("words"), F.max("mix_size").alias("longest")).collect()  # at most ``blocks`` rows a source
     by: dict[str | None, dict[int, int]] = {}
-    for s, b, words in sums:
+    longest: dict[tuple[str | None, int], int] = {}
+    for s, b, words, most_words in sums:
         by.setdefault(s, {})[b] = words
+        longest[s, b] = most_words
     sizes = {s: sum(x.values()) for s, x in by.items()}
     given = default_weights(list(by)) if weights is None else {s: Fraction(weights.get(s, 0)) for s in by}
     goal = targets(sizes, given, most)
@@ -100,13 +102,17 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
         whole = int(goal[s] // sizes[s])
         copies = [b for _ in range(whole) for b in rng.permutation(sorted(by[s])).tolist()]
         left = goal[s] - whole * sizes[s]
-        for b in rng.permutation(sorted(by[s])).tolist():
+        aside = []
+        for b in rng.permutation(sorted(by[s])).tolist() if left else []:
             if by[s][b] > left:
-                partial[s] = (b, float(left))
-                copies.append(b)
-                break
+                aside.append(b)
+                continue
             left -= by[s][b]
             copies.append(b)
+        if aside:
+            b = min(aside, key=lambda b, s=s: longest[s, b])
+            partial[s] = (b, float(left))
+            copies.append(b)
         taken[s] = copies
     counts = np.array([len(taken[s]) for s in order], np.int64)
     shares = split(counts, shards, _generator(seed, "tree", "")) if len(order) else np.zeros((shards, 0), np.int64)
@@ -122,9 +128,9 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
             plan.append((s, b, spots.get(b, []), cut[1] if b == cut[0] else None, sizes[s], float(goal[s])))
     plan_table = spark.createDataFrame(plan, "mix_plan_source string, mix_plan_block int, mix_shards array<int>, mix_cut double, mix_source_size long, mix_target double")
     planned = sized.join(F.broadcast(plan_table), F.col("source").eqNullSafe(F.col("mix_plan_source")) & (F.col("mix_block") == F.col("mix_plan_block")), "left").drop("mix_plan_source", "mix_plan_block")
-    # the one block of each source that is taken in part: its documents in hash order, while half of the next fits
+    # the one block of each source that is taken in part: its documents by size, as a power of two, then in hash order, while half of the next fits
     once = planned.filter("mix_cut is not null")
-    permuted = Window.partitionBy("source", "mix_block").orderBy(F.xxhash64(F.lit(seed), F.lit(1), "doc_id"), "doc_id", "mix_size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    permuted = Window.partitionBy("source", "mix_block").orderBy(F.length(F.bin("mix_size")), F.xxhash64(F.lit(seed), F.lit(1), "doc_id"), "doc_id", "mix_size", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = F.sum("mix_size").over(permuted) - F.col("mix_size") / 2 <= F.col("mix_cut")
     once = once.withColumn("mix_shards", F.when(fits, F.col("mix_shards")).otherwise(F.slice("mix_shards", 1, F.size("mix_shards") - 1)))
     return planned.filter("mix_cut is null").unionByName(once).drop("mix_cut", "mix_block")

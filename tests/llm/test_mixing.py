@@ -75,3 +75,12 @@ def test_query_tells_shards(spark, tmp_path):
     got = op4_mixing(spark, str(tmp_path)).collect()
     assert all(r.taken == r["size"] * len(r.mix_shards) for r in got)
     assert {s for r in got for s in r.mix_shards} == set(range(SHARDS))
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_long_document_leaves_no_gap(spark, blocks):
+    rows = [(i, "w " * 20, "ab"[i % 2]) for i in range(600)] + [(1000, "w " * 5000, "a")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+    for seed in range(5):
+        got = placements(table, blocks=blocks, seed=seed).filter("source = 'a'").collect()
+        assert abs(sum(r.mix_size * len(r.mix_shards) for r in got) - got[0].mix_target) <= 10
