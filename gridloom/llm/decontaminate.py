@@ -37,7 +37,7 @@ STRETCH = 13
 AGREE = 80
 MAX_WORDS = 500_000
 #: So many hits are looked at together.
-HITS = 1 << 14
+HITS = 1 << 11
 
 _FOUND = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_same long"
 _MUL = np.uint64(0xC6A4A7935BD1E995)
