@@ -66,7 +66,7 @@ def test_scores_select_where_no_name_helps():
         assert main_text(source) == "\n\n".join(["T", *FIVE])
         assert main_text(source, threshold=0) != main_text(source)  # everything counts
     quote = "Another passage, " + LONG[5:150]
-    parts = f"<body><div>{body}</div><div><blockquote>{quote}</blockquote></div></body>"
+    parts = f"<body><div>{body}</div><div class=second><blockquote>{quote}</blockquote></div></body>"
     assert quote in main_text(parts) and quote not in main_text(parts, threshold=1e9)  # the best path alone
 
 
