@@ -6,7 +6,9 @@ texts are joined.  Around each hit the item is laid on the text without gaps, an
 the longest stretch in which enough words agree decides, so that a few
 substituted words hide nothing: any stretch of STRETCH words or more (12 for an item
 of 12) of which AGREE percent agree holds a hit.  Hits without so dense a
-window around them are put aside before that, all at once.
+window around them are put aside before that, all at once.  Hits are counted by pair
+of text and item before they are listed: where repeated words give more than a few for
+each way to lay the item on the text, each way is looked at once instead.
 
 The benchmark side is held in memory by each worker: its size is counted first,
 and a benchmark of more than ``max_words`` words is dealt into several parts, each
@@ -36,8 +38,10 @@ SHORTEST = 5
 STRETCH = 13
 AGREE = 80
 MAX_WORDS = 500_000
-#: So many hits are looked at together.
-HITS = 1 << 11
+#: So many hits, groups of hits, and words of an item laid on a text in some ways, are looked at together.
+HITS, GROUPS, CELLS = 1 << 11, 1 << 18, 1 << 20
+#: A text and an item with so many hits for each way to lay one on the other are compared in all ways, without listing the hits.
+HEAVY = 4
 
 _FOUND = "doc_id long, item_id long, doc_start long, item_start long, n_words long, n_same long"
 _MUL = np.uint64(0xC6A4A7935BD1E995)
@@ -45,12 +49,19 @@ _MUL = np.uint64(0xC6A4A7935BD1E995)
 
 @dataclass(frozen=True)
 class Items:
-    """Word hashes of some items one after the other, and their seeds in order of hash."""
+    """Word hashes of some items one after the other, and where their seeds lie.
 
-    ids: np.ndarray
+    Seed ``u`` has the groups ``first[u]:first[u + 1]``, one for each item that has it;
+    group ``g`` is of ``item[g]`` and has the words ``places[start[g]:start[g + 1]]``.
+    """
+
+    ids: pa.Array
     row: np.ndarray
     words: np.ndarray
     seeds: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    start: np.ndarray
     places: np.ndarray
     short: tuple[int, ...]
     bitmap: np.ndarray
@@ -68,8 +79,8 @@ def _seeded(h: np.ndarray, mask: str) -> np.ndarray:
     return K.mix(total)
 
 
-def _index(ids: list[int], texts: list[str | None]) -> Items:
-    words = K.Words(pa.array(texts, pa.large_string()), lower=True)
+def _index(ids: pa.Array, texts: pa.Array) -> Items:
+    words = K.Words(texts, lower=True)
     h, n = words.hashes(), words.counts()
     seeds, places = [], []
     for mask in MASKS:
@@ -83,11 +94,18 @@ def _index(ids: list[int], texts: list[str | None]) -> Items:
         seeds.append(_seeded(h, "1" * length)[at])
         places.append(at)
     seeds, places = np.concatenate(seeds), np.concatenate(places).astype(np.int64)
-    order = np.argsort(seeds)
+    order = np.lexsort((places, seeds))  # places of an item follow each other
+    seeds, places = seeds[order], places[order]
+    item = np.searchsorted(words.row, places, "right") - 1
+    fresh = np.diff(seeds, prepend=seeds[:1] + np.uint64(1)) != 0
+    group = fresh | (np.diff(item, prepend=-1) != 0)
+    start = np.append(np.flatnonzero(group), len(seeds))
+    first = np.append(np.flatnonzero(fresh[group]), len(start) - 1)
+    seeds = seeds[fresh]
     bits = min(26, max(16, (512 * len(seeds)).bit_length()))
     bitmap = np.zeros(1 << bits, bool)
     bitmap[(seeds >> np.uint64(64 - bits)).astype(np.int64)] = True
-    return Items(np.array(ids, np.int64), words.row, h, seeds[order], places[order], short, np.packbits(bitmap, bitorder="little"))
+    return Items(ids, words.row, h, seeds, first, item[group], start, places, short, np.packbits(bitmap, bitorder="little"))
 
 
 def longest_stretch(same: np.ndarray, agree: int = AGREE) -> tuple[int, int]:
@@ -123,53 +141,115 @@ def _dense(h: np.ndarray, words: K.Words, at: np.ndarray, items: Items, place: n
     return found
 
 
-def _matches(part: pa.RecordBatch, items: Items, stretch: int, agree: int) -> list[tuple[int, int, int, int, int, int]]:
-    """(row, item, doc_start, item_start, n_words, n_same) of each contaminated row of a slice, the best one for each item."""
-    words = K.Words(part.column("text"), lower=True)
-    h = words.hashes()
+def _ranges(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all ranges one after the other, and the range that each is of."""
+    which = np.repeat(np.arange(len(count)), count)
+    return np.arange(len(which)) + np.repeat(first - np.cumsum(count) + count, count), which
+
+
+def _best(own: np.ndarray, theirs: np.ndarray, shifts: np.ndarray, stretch: int, agree: int) -> tuple[int, int, int, int] | None:
+    """(n_same, -doc_start, -item_start, n_words) of the best stretch of an item laid on a text at each of ``shifts``; None if there is none.
+
+    All words that agree at a shift bound what it can give, so shifts are looked at
+    from the largest bound on, until no other can be better.
+    """
+    n, m = len(own), len(theirs)
+    least = min(stretch, m)
+    total = np.empty(len(shifts), np.int64)
+    step = max(1, CELLS // m)
+    for a in range(0, len(shifts), step):
+        at = shifts[a : a + step, None] + np.arange(m)
+        laid = (at >= 0) & (at < n)
+        total[a : a + step] = (laid & (own[np.where(laid, at, 0)] == theirs)).sum(axis=1)
+    some = 100 * total >= (agree * least if m >= SPAN else 100 * m)
+    shifts, total = shifts[some], total[some]
+    best = None
+    for k in np.lexsort((np.maximum(0, -shifts), np.maximum(0, shifts), -total)).tolist():
+        d = int(shifts[k])
+        a, b = max(0, -d), min(m, n - d)
+        if best and (int(total[k]), -(d + a), -a) <= best[:3]:
+            break
+        same = own[d + a : d + b] == theirs[a:b]
+        begin, end = longest_stretch(same, agree) if m >= SPAN else (0, m)
+        if end - begin >= least:
+            found = (int(same[begin:end].sum()), -(d + a + begin), -(a + begin), end - begin)
+            best = max(best or found, found)
+    return best
+
+
+def _hits(words: K.Words, h: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a slice at which a seed of the items begins, and the seed's number, in order of the words."""
     bits = (len(items.bitmap) * 8).bit_length() - 1
-    at, low, many = [], [], []
+    at, seed = [], []
     for mask in (*MASKS, *("1" * n for n in items.short)):
         seeds = _seeded(h, mask)
         cell = (seeds >> np.uint64(64 - bits)).astype(np.int64)
         place = np.flatnonzero(items.bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
         place = place[K.inside(words.row, len(mask))[place]] if len(place) else place
-        first = np.searchsorted(items.seeds, seeds[place], "left")
-        count = np.searchsorted(items.seeds, seeds[place], "right") - first
-        at.append(place[count > 0])
-        low.append(first[count > 0])
-        many.append(count[count > 0])
-    at, low, many = np.concatenate(at), np.concatenate(low), np.concatenate(many)
-    if not len(at):
-        return []
-    found = []
-    for one in np.split(np.arange(len(at)), np.flatnonzero(np.diff(np.cumsum(many) // HITS)) + 1):
-        which = np.repeat(low[one] - np.cumsum(many[one]) + many[one], many[one]) + np.arange(many[one].sum())
-        place, where = items.places[which], np.repeat(at[one], many[one])
-        for a in range(0, len(where), HITS):
-            p, w = place[a : a + HITS], where[a : a + HITS]
-            size = np.diff(items.row)[np.searchsorted(items.row, p, "right") - 1]
-            kept = (size < SPAN) | _dense(h, words, w, items, p, stretch, agree)
-            found.append((w[kept], p[kept]))
-    at, place = (np.concatenate(x) for x in zip(*found, strict=True))
-    if not len(at):
-        return []
+        which = np.searchsorted(items.seeds, seeds[place])
+        hit = which < len(items.seeds)
+        hit[hit] = items.seeds[which[hit]] == seeds[place[hit]]
+        at.append(place[hit])
+        seed.append(which[hit])
+    at, seed = np.concatenate(at), np.concatenate(seed)
+    order = np.argsort(at, kind="stable")
+    return at[order], seed[order]
+
+
+def _matches(part: pa.RecordBatch, items: Items, stretch: int, agree: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(row, item, doc_start, item_start, n_words, n_same) of each contaminated row of a slice, the best one for each item."""
+    words = K.Words(part.column("text"), lower=True)
+    h = words.hashes()
+    at, seed = _hits(words, h, items)
     text = np.searchsorted(words.row, at, "right") - 1
-    item = np.searchsorted(items.row, place, "right") - 1
-    shift = (at - words.row[text]) - (place - items.row[item])
-    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for t, i, d in np.unique(np.stack([text, item, shift]), axis=1).T.tolist():
-        own, theirs = h[words.row[t] : words.row[t + 1]], items.words[items.row[i] : items.row[i + 1]]
-        a, b = max(0, -d), min(len(theirs), len(own) - d)
-        same = own[d + a : d + b] == theirs[a:b]
-        if len(theirs) < SPAN:
-            begin, end = (0, len(same)) if len(same) == len(theirs) and same.all() else (0, 0)
-        else:
-            begin, end = longest_stretch(same, agree)
-        if end - begin >= min(stretch, len(theirs)) and end > begin:
-            found = (int(same[begin:end].sum()), -(d + a + begin), -(a + begin), end - begin)
-            best[t, i] = max(best.get((t, i), found), found)
-    return [(t, i, -x, -y, n, same) for (t, i), (same, x, y, n) in sorted(best.items())]
+    found = []
+    # some texts at a time, so that their hits' groups are few, or one text
+    edges = np.flatnonzero(np.diff(text, prepend=-1))
+    size = np.add.reduceat(items.first[seed + 1] - items.first[seed], edges) if len(edges) else np.zeros(0, np.int64)
+    lot = np.cumsum(size) // GROUPS
+    for one in np.split(np.arange(len(edges)), np.flatnonzero(np.diff(lot)) + 1) if len(edges) else []:
+        a, b = edges[one[0]], edges[one[-1] + 1] if one[-1] + 1 < len(edges) else len(at)
+        found += _lot(words, h, at[a:b], seed[a:b], text[a:b], items, stretch, agree)
+    return sorted(found)
+
+
+def _lot(words: K.Words, h: np.ndarray, at: np.ndarray, seed: np.ndarray, text: np.ndarray, items: Items, stretch: int, agree: int) -> list[tuple[int, int, int, int, int, int]]:
+    many, n_words, n_items = len(items.row) - 1, words.counts(), np.diff(items.row)
+    # how many hits each pair of text and item has, without listing them
+    cell, times = np.unique(text * len(items.seeds) + seed, return_counts=True)
+    of = cell % len(items.seeds)
+    group, which = _ranges(items.first[of], items.first[of + 1] - items.first[of])
+    pairs, back = np.unique((cell // len(items.seeds))[which] * many + items.item[group], return_inverse=True)
+    hits = np.bincount(back, times[which] * (items.start[group + 1] - items.start[group]))
+    heavy = hits > HEAVY * (n_words[pairs // many] + n_items[pairs % many])
+    # pairs with more hits than a few for each way to lay the item on the text (repeated words) are looked at in all these ways
+    ways = {int(p): np.arange(1 - n_items[p % many], n_words[p // many]) for p in pairs[heavy]}
+    # of the others each hit is listed; those in no dense window go
+    group, which = _ranges(items.first[seed], items.first[seed + 1] - items.first[seed])
+    light = ~heavy[np.searchsorted(pairs, text[which] * many + items.item[group])]
+    group, which = group[light], which[light]
+    count = items.start[group + 1] - items.start[group]
+    laid = []
+    for one in np.split(np.arange(len(group)), np.flatnonzero(np.diff(np.cumsum(count) // HITS)) + 1):
+        number, of = _ranges(items.start[group[one]], count[one])
+        for a in range(0, len(number), HITS):
+            place, where = items.places[number[a : a + HITS]], at[which[one][of[a : a + HITS]]]
+            item = np.searchsorted(items.row, place, "right") - 1
+            kept = (n_items[item] < SPAN) | _dense(h, words, where, items, place, stretch, agree)
+            place, where, item = place[kept], where[kept], item[kept]
+            t = np.searchsorted(words.row, where, "right") - 1
+            laid.append(np.stack([t * many + item, (where - words.row[t]) - (place - items.row[item])]))
+    if laid:
+        pair, shift = np.unique(np.concatenate(laid, axis=1), axis=1)
+        for one in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(pair)) + 1) if len(pair) else []:
+            ways[int(pair[one[0]])] = shift[one]
+    found = []
+    for p, shifts in ways.items():
+        t, i = divmod(p, many)
+        best = _best(h[words.row[t] : words.row[t + 1]], items.words[items.row[i] : items.row[i + 1]], shifts, stretch, agree)
+        if best:
+            found.append((t, i, -best[1], -best[2], best[3], best[0]))
+    return found
 
 
 def _find(shared, stretch: int, agree: int):
@@ -180,7 +260,7 @@ def _find(shared, stretch: int, agree: int):
                 found = _matches(part, items, stretch, agree)
                 if found:
                     row, item, *rest = (np.array(x, np.int64) for x in zip(*found, strict=True))
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(items.ids[item]), *map(pa.array, rest)], ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), items.ids.take(pa.array(item)), *map(pa.array, rest)], ["doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same"])
 
     return run
 
@@ -197,15 +277,15 @@ def _keep(shared, stretch: int, agree: int):
 
 
 def _parts(benchmark: DataFrame, max_words: int) -> Iterator[Items]:
-    """The benchmark's items, in parts of about ``max_words`` words; one item is never divided."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """The benchmark's different items, in parts of about ``max_words`` words; one item is never divided."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (2 * max_words)))  # a word and its separator have two bytes at least
     for p in range(parts):
         part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else rows
-        got = part.orderBy("item_id", "text").toArrow()
-        ids = [-1 if x is None else x for x in got.column("item_id").to_pylist()]
-        yield _index(ids, got.column("text").to_pylist())
+        got = part.orderBy("item_id", "text").toArrow().combine_chunks()
+        ids, texts = (got.column(c).chunk(0) if got.num_rows else pa.array([], t) for c, t in (("item_id", pa.int64()), ("text", pa.string())))
+        yield _index(ids, texts)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, agree: int = AGREE, max_words: int = MAX_WORDS) -> DataFrame:
@@ -214,8 +294,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH,
     (doc_id, item_id, doc_start, item_start, n_words, n_same): where the best
     stretch begins, in words, its length, and how many of its words agree (most
     agreeing words; the earliest on a tie).  Words are split at white space, A-Z lower-cased.
-    Null, empty and short texts match nothing; a null doc_id stays null, a
-    null item_id is -1; repeated rows are reported each; an empty table on either side gives no rows.
+    Null, empty and short texts match nothing; null ids stay null; repeated rows of
+    ``docs`` are reported each, repeated items (id and text) count once; an empty table on either
+    side gives no rows.  Texts and items of repeated words take time in proportion
+    to the ways to lay one on the other times the item's length, and bounded memory.
     """
     sc = docs.sparkSession.sparkContext
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from gridloom.llm.decontaminate import AGREE, MASKS, SHORTEST, SPAN, STRETCH, contaminated, decontaminate, longest_stretch
+from gridloom.llm.decontaminate import AGREE, SHORTEST, SPAN, STRETCH, contaminated, decontaminate, longest_stretch
 
 
 def brute(docs, items):
@@ -21,9 +21,8 @@ def brute(docs, items):
                     if len(same) == len(v) and all(same):
                         found.add((d, i))
                     continue
-                seeded = any(all(same[a + k] for k, c in enumerate(m) if c == "1") for m in MASKS for a in range(len(same) - SPAN + 1))
                 best = max((b - a for a in range(len(same)) for b in range(a + 1, len(same) + 1) if same[a] and same[b - 1] and 100 * sum(same[a:b]) >= AGREE * (b - a)), default=0)
-                if seeded and best >= min(STRETCH, len(v)):
+                if best >= min(STRETCH, len(v)):
                     found.add((d, i))
     return found
 
@@ -110,3 +109,27 @@ def test_stretch_of_an_item_of_twelve(spark):
     docs = [(10 * a + b, " ".join("x" if k in (a, b) else w for k, w in enumerate(item))) for a in range(1, 11) for b in range(a, 11)]
     got = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == sorted(d for d, _ in docs)
+
+
+def test_repeated_words_take_bounded_time():
+    import time
+
+    import pyarrow as pa
+
+    from gridloom.llm.decontaminate import _index, _matches
+
+    start = time.time()
+    items = _index(pa.array([1, None, 3]), pa.array(["a " * 200, "a b " * 100, "a b c " * 50 + "d"]))
+    texts = ["a " * 100_000, "b a " * 50_000, "c a b " * 30_000, "a b c " * 50 + "d"]
+    got = _matches(pa.RecordBatch.from_pydict({"text": texts}), items, STRETCH, AGREE)
+    assert time.time() - start < 20
+    assert {(t, i): (doc, item, n, same) for t, i, doc, item, n, same in got} == {(0, 0): (0, 0, 200, 200), (1, 1): (1, 0, 200, 200), (2, 2): (1, 0, 150, 150), (3, 2): (0, 0, 151, 151)}
+
+
+def test_repeated_words_match_brute_force(spark):
+    rng = random.Random(8)
+    items = [(1, "a " * 30), (2, "a b " * 12), (None, "a b a c " * 5), (-1, "a a a b " * 9), (5, "a b a a a b a c")]
+    docs = [(d, " ".join(rng.choices("aaaabbc", k=rng.randrange(0, 70)) if d % 2 else rng.choice(["a ", "a b ", "a b a c ", "a a a b "]).split() * rng.randrange(1, 25))) for d in range(60)]
+    got = contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame([*items, items[0]], "item_id long, text string")).collect()
+    want = brute(docs, items)
+    assert {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
