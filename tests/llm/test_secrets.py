@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -55,5 +56,18 @@ def test_entropy_is_incremental_and_exact(spark):
     assert max(abs(a - entropy(s)) for a, s in zip(got, strings, strict=True)) < 1e-9
 
 
+def test_many_matches_in_one_text(spark):
+    """Scans in blocks: spans and what base spans hold, for a text of many more matches than a block."""
+    rng = random.Random(5)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    word = lambda: rng.choice(["token=", "", "", "AKIA"]) + "".join(rng.choices(chars, k=rng.choice([7, 24, 33])))
+    text = " ".join(word() for _ in range(9000))
+    (row,) = scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert ((row.n_assign, row.n_access, row.n_hex), row.base, row.spans) == brute(text)
+    start = time.time()
+    (row,) = scan(spark.createDataFrame([(1, "token=abcdefgh1 " * 100_000)], "doc_id long, text string")).collect()
+    assert row.n_assign == 100_000 and row.spans.endswith("assign:1599984:1599999") and time.time() - start < 60
+
+
 def test_empty(spark):
     assert scan(spark.createDataFrame([], "doc_id long, text string")).collect() == []
