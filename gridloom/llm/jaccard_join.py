@@ -17,11 +17,15 @@ a pair must agree on it, sets are indexed for their size band and the next one
 
 Candidates come from lists of equal signatures.  Sets that are equal count as
 one node.  Lists are not expanded into pairs: first every member is verified with
-one hub of its list; then, in lists whose members are not yet in one component,
+one hub of its list; then, in short lists whose members are not yet in one component,
 those outside the list's largest component meet the members of other components
-that size and position bounds leave.  Before texts are compared, parity
-bitmaps bound the overlap: sets that differ in ``d`` tokens differ in ``d`` bits at
-most.  All bounds are lossless, so the components are those of all links.
+that size and position bounds leave.  Members of long lists of several components are
+indexed once more, by larger combinations instead of prefixes: all tokens are dealt by
+hash into one part more than two similar sets of their size band can differ in tokens, so
+similar sets have one part in common as a whole.  Lists of whole parts are as short as sets
+are unlike, and go the same way: a hub first, then what is left.  Before texts are
+compared, parity bitmaps bound the overlap: sets that differ in ``d`` tokens differ in ``d``
+bits at most.  All bounds are lossless, so the components are those of all links.
 """
 
 from __future__ import annotations
@@ -39,8 +43,11 @@ from gridloom.llm import kernels as K
 from gridloom.llm.components import connected_components
 from gridloom.llm.scratch import near_members, saved
 
-#: log2 of the number of counters that estimate how many sets have a token.
-SKETCH_BITS = 22
+#: log2 of the most counters that estimate how many sets have a token; a corpus has one for each COUNTER_BYTES bytes, up to this.
+SKETCH_BITS = 24
+COUNTER_BYTES = 64
+#: A list whose members would meet in more pairs than this is indexed by parts instead.
+LIST_PAIRS = 1 << 10
 SLICE = 1 << 18
 #: A token is frequent if its counter is above this many times the mean counter, plus FREQUENT_OVER.
 FREQUENT_TIMES = 2.0
@@ -193,6 +200,41 @@ def _signatures(levels, width: int, percent: int, bits: int, frequent: int):
     return run
 
 
+def _part_signatures(width: int, percent: int):
+    """Signatures of whole parts of each set, under its size band and the next one.
+
+    Sets of sizes a and b with a similarity of ``percent`` or more differ in (100 - percent) / (100 + percent) * (a + b) tokens at most.
+    """
+    growth = 100 / (percent - 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                values, bounds = shingle_sets(part.column("text"), width)
+                nodes = np.asarray(part.column("node"))
+                right = K.signed(set_keys(values, bounds)) == nodes
+                n = np.diff(bounds)
+                text = np.repeat(np.arange(len(n)), n)
+                hashed = K.mix(values + np.uint64(0x632BE59BD9B4E019))
+                band = np.floor(np.log(np.maximum(n, 1)) / math.log(growth)).astype(np.int64)
+                found = []
+                for c in (band, band + 1):
+                    parts = np.floor(2 * (100 - percent) / (100 + percent) * growth ** (c + 1)).astype(np.int64) + 1
+                    first = np.concatenate([[0], np.cumsum(parts)])
+                    cell = first[:-1][text] + ((hashed >> np.uint64(20)) % parts[text].astype(np.uint64)).astype(np.int64)
+                    total = np.zeros(first[-1], np.uint64)
+                    np.add.at(total, cell, hashed)
+                    owner = np.repeat(np.arange(len(n)), parts)
+                    number = np.arange(first[-1]) - first[:-1][owner]
+                    sig = K.mix(total ^ K.mix((c[owner] << 32 | number).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)))
+                    keep = right[owner]
+                    found.append((sig[keep], owner[keep]))
+                sig, owner = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_pydict({"sig": K.signed(sig), "node": nodes[owner], "n": n[owner].astype(np.int32), "rem": n[owner].astype(np.int32)})
+
+    return run
+
+
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,7 +258,7 @@ def _verify(width: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS) -> tuple[DataFrame, DataFrame]:
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketch_bits: int = SKETCH_BITS, list_pairs: int = LIST_PAIRS) -> tuple[DataFrame, DataFrame]:
     """Sets and components of documents whose shingle sets have a Jaccard similarity of ``percent`` or more.
 
     Takes ``doc_id`` and ``text``; other columns are ignored.  Words are runs of
@@ -235,27 +277,26 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = saved(docs.mapInArrow(_survey(width, sketch_bits), _SURVEY), "sets")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(sketch_bits, max(18, (size // COUNTER_BYTES).bit_length()))
+    survey = saved(docs.mapInArrow(_survey(width, bits), _SURVEY), "sets")
     slices = survey.filter("kind = 1").select("slice", "counts").repartition("slice").mapInArrow(_merge, "slice int, levels binary, total long")
-    level, total = np.zeros(1 << sketch_bits, np.uint8), 0
-    for s, part, many in slices.collect():  # 2**sketch_bits bytes
+    level, total = np.zeros(1 << bits, np.uint8), 0
+    for s, part, many in slices.collect():  # 2**bits bytes
         level[s * SLICE : s * SLICE + len(part)] = np.frombuffer(part, np.uint8)
         total += many
     frequent = int(_level(np.array([FREQUENT_TIMES * total / len(level) + FREQUENT_OVER]))[0])
     shared = spark.sparkContext.broadcast(level.tobytes())
 
     sets = survey.filter("kind = 0").select("doc_id", "k", "n", "parity")
-    classes = sets.filter("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-
-    postings = docs.filter("doc_id is not null").mapInArrow(_signatures(shared, width, percent, sketch_bits, frequent), _POSTINGS)
-    # the hub: the member in which the signature comes first, as a common original has no rare tokens before it
-    order = F.shiftleft((F.col("n") - F.col("rem")).cast("long"), 40).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 40) - 1)))
-    hub = [F.min_by(c, order).alias(name) for c, name in (("node", "hub"), ("n", "n_hub"), ("rem", "rem_hub"))]
-    lists = postings.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), *hub).filter("low <> high").drop("low", "high")
-    postings = saved(postings.join(lists, "sig"), "postings")
-    met = postings.filter("node <> hub").filter(_possible("n", "n_hub", "rem", "rem_hub", percent))
+    classes = saved(sets.filter("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")), "classes")
     reps = classes.select(F.col("k").alias("node"), F.col("rep").alias("doc_id"))
 
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text) of one document of each node."""
+        wanted = saved(nodes.distinct().join(reps, "node"), "wanted")
+        return near_members(docs.filter("doc_id is not null"), "doc_id", wanted.select("doc_id"), wanted.count()).join(wanted, "doc_id").select("node", "text")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a, b): by parity bitmaps first, then exactly by the texts."""
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
@@ -264,46 +305,77 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
         differ = F.aggregate(F.zip_with("parity_a", "parity_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         close = pairs.join(side("b"), "b").join(side("a"), "a").filter((100 + percent) * (F.col("n_a") + F.col("n_b") - differ) >= 2 * percent * (F.col("n_a") + F.col("n_b")))
         close = saved(close.select("a", "b"), "close")
-        wanted = saved(close.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node"), "wanted")
-        texts = near_members(docs.filter("doc_id is not null"), "doc_id", wanted.select("doc_id"), wanted.count()).join(wanted, "doc_id").select("node", "text")
-        texts = saved(texts, "texts")
+        texts = saved(texts_of(close.select(F.explode(F.array("a", "b")).alias("node"))), "texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         both = close.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
         return saved(both.mapInArrow(_verify(width, percent), "a long, b long, shared long"), "links")
 
-    first = saved(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
-    links = verified(first)
+    postings = docs.filter("doc_id is not null").mapInArrow(_signatures(shared, width, percent, bits, frequent), _POSTINGS)
+    postings = _listed(postings)
+    pairs = _with_hubs(postings, percent)
+    links = verified(pairs)
     labels = saved(connected_components(links), "labels")
-    across = _across(postings, labels, percent).join(first, ["a", "b"], "left_anti")
-    more = verified(saved(across, "pairs"))
+    across, long = _across(postings, labels, percent, list_pairs)
+    across = saved(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if long.limit(1).count():
+        postings = _listed(texts_of(long).mapInArrow(_part_signatures(width, percent), _POSTINGS))
+        met = saved(_with_hubs(postings, percent).unionByName(across).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+        more = verified(met)
+        links, pairs = links.unionByName(more), pairs.unionByName(met)
+        if more.limit(1).count():
+            labels = saved(connected_components(links), "labels")
+        across = saved(_across(postings, labels, percent, None)[0].join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = verified(across)
     if more.limit(1).count():
         links = links.unionByName(more)
         labels = saved(connected_components(links), "labels")
     labels = classes.join(labels, classes.k == labels.node, "left").select("k", "rep", "rows", F.coalesce("label", "k").alias("label"))
     least = labels.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("members")).filter("members > 1")
-    found = labels.join(least, "label").select("k", "component_id")
+    found = saved(labels.join(least, "label").select("k", "component_id"), "found")
     out = sets.join(found, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out, links
 
 
+def _listed(postings: DataFrame) -> DataFrame:
+    """Postings of signatures that several nodes have, each with its list's hub.
+
+    The hub is the member in which the signature comes first, as a common original has no
+    rare tokens before it.  The lists are written before the postings are joined with
+    them: a join of two plain exchanges is one that adaptive execution can split at a hot signature.
+    """
+    order = F.shiftleft((F.col("n") - F.col("rem")).cast("long"), 40).bitwiseOR(F.col("node").bitwiseAND(F.lit((1 << 40) - 1)))
+    hub = [F.min_by(c, order).alias(name) for c, name in (("node", "hub"), ("n", "n_hub"), ("rem", "rem_hub"))]
+    lists = saved(postings.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high"), *hub).filter("low <> high").drop("low", "high"), "lists")
+    return saved(postings.join(lists, "sig"), "postings")
+
+
+def _with_hubs(postings: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of each member and its list's hub."""
+    met = postings.filter("node <> hub").filter(_possible("n", "n_hub", "rem", "rem_hub", percent))
+    return saved(met.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct(), "pairs")
+
+
 def _possible(n: str, m: str, rem: str, other: str, percent: int) -> str:
     """Whether the sizes ``n`` and ``m`` are similar enough, and the ``rem`` and ``other`` tokens left can hold the overlap needed."""
     return f"100 * least({n}, {m}) >= {percent} * greatest({n}, {m}) and {100 + percent} * least({rem}, {other}) >= {percent} * ({n} + {m})"
 
 
-def _across(postings: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of lists whose members are in several components, less those that a bound rules out.
+def _across(postings: DataFrame, labels: DataFrame, percent: int, list_pairs: int | None) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) of lists whose members are in several components, less those that a bound rules out; and the nodes of long lists.
 
-    Sizes: 100 * smaller >= percent * larger.  Position: at the first token that
-    two sets share, at most ``rem`` tokens are left in either, which must reach
+    Lists that would give more than ``list_pairs`` pairs before the bounds are left to the
+    second table (none are, if it is None).  Sizes: 100 * smaller >= percent * larger.  Position:
+    at the first token that two sets share, at most ``rem`` tokens are left in either, which must reach
     the overlap that the similarity needs; every similar pair passes there.
     """
     members = postings.drop("hub", "n_hub", "rem_hub").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     sizes = members.groupBy("sig", "label").agg(F.count("*").alias("many"))
-    main = sizes.groupBy("sig").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").select("sig", "main")
-    members = saved(members.join(main, "sig"), "members")
-    left = members.filter("label <> main").select("sig", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "rem", "label")])
-    right = members.select("sig", F.col("main"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "rem", "label")])
+    lists = sizes.groupBy("sig").agg(F.max_by("label", F.struct("many", "label")).alias("main"), F.count("*").alias("labels"), F.max("many").alias("most"), F.sum("many").alias("many")).filter("labels > 1")
+    is_long = F.lit(False) if list_pairs is None else (F.col("many") - F.col("most")) * F.col("many") > list_pairs
+    lists = saved(lists.select("sig", "main", is_long.alias("long")), "lists")
+    members = saved(members.join(lists, "sig"), "members")
+    left = members.filter("not long and label <> main").select("sig", *[F.col(c).alias(f"{c}_x") for c in ("node", "n", "rem", "label")])
+    right = members.filter("not long").select("sig", F.col("main"), *[F.col(c).alias(f"{c}_y") for c in ("node", "n", "rem", "label")])
     met = left.join(right, "sig").filter("label_x <> label_y and (label_y = main or node_x < node_y)")
     met = met.filter(_possible("n_x", "n_y", "rem_x", "rem_y", percent))
-    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct(), members.filter("long").select("node").distinct()

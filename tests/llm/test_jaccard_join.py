@@ -3,7 +3,8 @@ import re
 
 import pytest
 
-from gridloom.llm.jaccard_join import jaccard_components
+from gridloom.llm.jaccard_join import _across, jaccard_components
+from gridloom.llm.scratch import saved
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 AZ = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -48,12 +49,12 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "over"), [(4, 85, 64), (5, 80, 1)])
-def test_matches_brute_force(spark, monkeypatch, width, percent, over):
+@pytest.mark.parametrize(("width", "percent", "over", "list_pairs"), [(4, 85, 64, 1 << 10), (5, 80, 1, 3), (4, 85, -63, 0)])
+def test_matches_brute_force(spark, monkeypatch, width, percent, over, list_pairs):
     monkeypatch.setattr("gridloom.llm.jaccard_join.FREQUENT_OVER", over)
     rows = corpus(width)
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, k int, n int").repartition(3)
-    got, _ = jaccard_components(docs, width, percent, sketch_bits=16)
+    got, _ = jaccard_components(docs, width, percent, sketch_bits=16, list_pairs=list_pairs)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, width, percent)
 
 
@@ -66,6 +67,33 @@ def test_chain_and_repeated_rows(spark):
     assert got.count() == 22
 
 
+def test_unlike_sets_on_hot_signatures(spark, monkeypatch):
+    """Sets of frequent tokens alone: prefixes put thousands of them into each list, and nearly none are similar."""
+    rng = random.Random(2)
+    pool = [f"p{k}" for k in range(120)]
+    rows = [(i, " ".join(rng.sample(pool, 20))) for i in range(4000)]
+    rows += [(5000 + i, " ".join([*rows[i][1].split()[1:], "other"])) for i in range(0, 300, 3)]
+    written = []
+
+    def counted(df, name):
+        out = saved(df, name)
+        if name == "pairs":
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr("gridloom.llm.jaccard_join.saved", counted)
+    got, _ = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1, 85, sketch_bits=16)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 1, 85)
+    assert max(written) < 60 * len(rows)  # of 8,400,000 pairs
+
+
+def test_long_lists_are_not_expanded(spark):
+    postings = spark.range(20_000).selectExpr("1L as sig", "id as node", "30 as n", "30 as rem", "0L as hub", "30 as n_hub", "30 as rem_hub")
+    labels = spark.createDataFrame([], "node long, label long")
+    pairs, long = _across(postings, labels, 85, 1 << 14)
+    assert pairs.count() == 0 and long.count() == 20_000
+
+
 def test_empty(spark):
     got, _ = jaccard_components(spark.createDataFrame([], "doc_id long, text string"), sketch_bits=16)
     assert got.collect() == []
