@@ -2,7 +2,8 @@
 
 A conversation's turns are rendered by a template that marks where turns, roles and
 texts begin and end; control strings inside roles and texts are escaped reversibly.
-The rendering is encoded once, with offsets; a token is under the loss mask if
+The rendering is encoded once, with offsets, which a byte-level tokenizer's tokens
+give by the bytes that each stands for; a token is under the loss mask if
 its characters meet the span of an assistant's text, which a binary search in the
 sorted spans tells.  Control strings are special tokens, so no token crosses the
 edge of a text.
@@ -87,26 +88,40 @@ def read_back(formatted: str, starts: np.ndarray, ends: np.ndarray, loss: np.nda
     return turns, masked
 
 
-_loaded: dict[int, object] = {}
+_loaded: dict[int, tuple] = {}
 
 
 def _tokenizer(data: str):
-    """The tokenizer of this worker, with the template's control strings as special tokens and whole offsets."""
+    """The tokenizer of this worker, with the template's control strings as special tokens; and the bytes that each token stands for."""
     key = hash(data)
     if key not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import AddedToken, Tokenizer, processors
+        from tokenizers import AddedToken, Tokenizer
 
         tokenizer = Tokenizer.from_str(data)
         tokenizer.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (START, ROLE, TEXT, END)])
-        tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
-        _loaded[key] = tokenizer
+        added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        vocabulary = tokenizer.get_vocab()
+        sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            sizes[number] = len(token.encode()) if token in added else len(token)  # a character of the vocabulary is a byte
+        _loaded[key] = tokenizer, sizes
     return _loaded[key]
 
 
+def offsets(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points at which the tokens of ``text`` start and end, from the bytes of each; a character that tokens share is in all of them."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    ends = np.cumsum(sizes)
+    if (int(ends[-1]) if len(ends) else 0) != len(raw):
+        raise ValueError("the tokenizer isn't a byte-level one: its tokens don't make up the text")
+    character = np.cumsum((raw & 0xC0) != 0x80) - 1
+    return character[ends - sizes].astype(np.int32), (character[ends - 1] + 1).astype(np.int32)
+
+
 def _format(shared, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(shared.value)
+        tokenizer, sizes = _tokenizer(shared.value)
         ready: list[tuple[int | None, int, str, int, np.ndarray]] = []
         turns: list[tuple[str, str]] = []
         current: object = run  # no conversation yet
@@ -121,14 +136,14 @@ def _format(shared, segment: int):
 
         def encoded() -> pa.RecordBatch:
             nonlocal ready, held
-            codes = tokenizer.encode_batch([r[2] for r in ready], add_special_tokens=False)
+            codes = [c.ids for c in tokenizer.encode_batch_fast([r[2] for r in ready], add_special_tokens=False)]
             bounds = np.concatenate([[0], np.cumsum([len(c) for c in codes])]).astype(np.int32)
             lists = lambda flat, kind: pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat, kind))
-            offsets = np.fromiter(chain.from_iterable(chain.from_iterable(c.offsets for c in codes)), np.int32, 2 * int(bounds[-1])).reshape(-1, 2)
-            starts, ends = np.ascontiguousarray(offsets[:, 0]), np.ascontiguousarray(offsets[:, 1])
+            ids = np.fromiter(chain.from_iterable(codes), np.int32, int(bounds[-1]))
+            starts, ends = (np.concatenate(x) for x in zip(*(offsets(r[2], sizes[ids[a:b]]) for a, b, r in zip(bounds[:-1], bounds[1:], ready, strict=True)), strict=True))
             out = pa.RecordBatch.from_pydict({
                 "conv_id": pa.array([r[0] for r in ready], pa.int64()), "segment": pa.array([r[1] for r in ready], pa.int32()), "formatted": [r[2] for r in ready], "n_turns": pa.array([r[3] for r in ready], pa.int32()),
-                "token_ids": lists(np.fromiter(chain.from_iterable(c.ids for c in codes), np.int32, int(bounds[-1])), pa.int32()), "token_starts": lists(starts, pa.int32()), "token_ends": lists(ends, pa.int32()),
+                "token_ids": lists(ids, pa.int32()), "token_starts": lists(starts, pa.int32()), "token_ends": lists(ends, pa.int32()),
                 "loss": lists(np.concatenate([loss_mask(starts[a:b], ends[a:b], r[4]) for a, b, r in zip(bounds[:-1], bounds[1:], ready, strict=True)]), pa.bool_()),
             })
             ready, held = [], 0

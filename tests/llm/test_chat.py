@@ -64,5 +64,27 @@ def test_mask():
     assert loss_mask(starts, ends, spans).tolist() == [False, False, True, True, False, False, True, True, False]
 
 
+def test_offsets_are_the_tokenizers(spark):
+    import json
+
+    from tokenizers import AddedToken, Tokenizer, processors
+
+    from gridloom.llm.chat import TOKENIZER, _tokenizer, offsets, render
+
+    with open(TOKENIZER, encoding="utf-8") as file:
+        data = file.read()
+    slow = Tokenizer.from_str(data)
+    slow.add_special_tokens([AddedToken(x, normalized=False, special=True) for x in (START, ROLE, TEXT, END)])
+    slow.post_processor = processors.ByteLevel(trim_offsets=False)
+    _, sizes = _tokenizer(data)
+    texts = [render([(r or "", x or "")])[0] for _, _, r, x in rows()] + ["", "𝒳é日" * 30]
+    for text, code in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
+        starts, ends = offsets(text, sizes[np.array(code.ids, np.int64)])
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == code.offsets
+    assert json.loads(data)["model"]["type"] == "BPE"
+    with pytest.raises(ValueError):
+        offsets("ab", np.array([1]))
+
+
 def test_empty(spark):
     assert digests(format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
