@@ -6,7 +6,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from gridloom.llm.mixing import SHARDS, default_weights, mix, placements, split, targets
+from gridloom.llm.mixing import LEAST_SHARDS, default_weights, mix, placements, split, targets
 from gridloom.llm.queries import op4_mixing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -74,7 +74,7 @@ def test_query_tells_shards(spark, tmp_path):
     table.write.parquet(str(tmp_path / "documents.parquet"))
     got = op4_mixing(spark, str(tmp_path)).collect()
     assert all(r.taken == r["size"] * len(r.mix_shards) for r in got)
-    assert {s for r in got for s in r.mix_shards} == set(range(SHARDS))
+    assert {s for r in got for s in r.mix_shards} == set(range(LEAST_SHARDS))
 
 
 @pytest.mark.parametrize("blocks", [1, 4])
@@ -84,3 +84,20 @@ def test_long_document_leaves_no_gap(spark, blocks):
     for seed in range(5):
         got = placements(table, blocks=blocks, seed=seed).filter("source = 'a'").collect()
         assert abs(sum(r.mix_size * len(r.mix_shards) for r in got) - got[0].mix_target) <= 10
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_no_row_is_taken_more_often_than_allowed(spark, seed):
+    """A source whose target is three times its size, with many rows without words."""
+    rows = [(i, "w " * (i % 7) if i % 3 else "", "small") for i in range(90)] + [(1000 + i, "w " * 100, "t") for i in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for blocks in (None, 3):
+        got = placements(table, seed=seed, blocks=blocks).filter("source = 'small'").collect()
+        assert {len(r.mix_shards) for r in got} == {3} and got[0].mix_target == 3 * got[0].mix_source_size
+
+
+def test_many_sources_raise(spark, monkeypatch):
+    monkeypatch.setattr("gridloom.llm.mixing.MAX_SOURCES", 3)
+    table = spark.createDataFrame([(i, "a b", str(i)) for i in range(4)], "doc_id long, text string, source string")
+    with pytest.raises(ValueError):
+        placements(table)
