@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import kernels as K
 from gridloom.llm.components import connected_components
-from gridloom.llm.scratch import near_members, saved
+from gridloom.llm.scratch import near_members, saved, settled
 
 #: log2 of the most counters that estimate how many sets have a token; a corpus has one for each COUNTER_BYTES bytes, up to this.
 SKETCH_BITS = 24
@@ -100,19 +100,12 @@ def _parity(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 def _survey(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        pending, held = [], 0
         for batch in batches:
             for part in K.slices(batch, "text"):
                 values, bounds = shingle_sets(part.column("text"), width)
-                pending.append((values >> np.uint64(64 - bits)).astype(np.int64))
-                held += len(values)
-                if held > 1 << bits:
-                    counts += np.bincount(np.concatenate(pending), minlength=1 << bits).astype(np.uint32)
-                    pending, held = [], 0
+                np.add.at(counts, (values >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
                 n = part.num_rows
                 yield pa.RecordBatch.from_pydict({"kind": np.zeros(n, np.int32), "doc_id": part.column("doc_id").cast(pa.int64()), "k": K.signed(set_keys(values, bounds)), "n": np.diff(bounds).astype(np.int64), "parity": _parity(values, bounds), "slice": pa.nulls(n, pa.int32()), "counts": pa.nulls(n, pa.binary())})
-        if held:
-            counts += np.bincount(np.concatenate(pending), minlength=1 << bits).astype(np.uint32)
         for s in range(0, len(counts), SLICE):
             if counts[s : s + SLICE].any():
                 yield pa.RecordBatch.from_pydict({"kind": pa.array([1], pa.int32()), "doc_id": pa.nulls(1, pa.int64()), "k": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "parity": pa.nulls(1, pa.list_(pa.int64())), "slice": pa.array([s // SLICE], pa.int32()), "counts": [zlib.compress(counts[s : s + SLICE].tobytes(), 1)]})
@@ -297,8 +290,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
         wanted = saved(nodes.distinct().join(reps, "node"), "wanted")
         return near_members(docs.filter("doc_id is not null"), "doc_id", wanted.select("doc_id"), wanted.count()).join(wanted, "doc_id").select("node", "text")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The links among ``pairs`` (a, b): by parity bitmaps first, then exactly by the texts."""
+    def checked(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node")
         bitmaps = saved(nodes.join(sets.select(F.col("k").alias("node"), "doc_id", "n", "parity"), ["node", "doc_id"]).dropDuplicates(["node"]), "bitmaps")
         side = lambda x: bitmaps.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"parity_{x}"))
@@ -308,7 +300,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
         texts = saved(texts_of(close.select(F.explode(F.array("a", "b")).alias("node"))), "texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         both = close.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-        return saved(both.mapInArrow(_verify(width, percent), "a long, b long, shared long"), "links")
+        return both.mapInArrow(_verify(width, percent), "a long, b long, shared long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The links among ``pairs`` (a, b): by parity bitmaps first, then exactly by the texts."""
+        return settled(lambda: checked(pairs), "links")
 
     postings = docs.filter("doc_id is not null").mapInArrow(_signatures(shared, width, percent, bits, frequent), _POSTINGS)
     postings = _listed(postings)

@@ -1,21 +1,27 @@
-"""Intermediate tables in the folder that all executors share, and small bounded lookups."""
+"""Intermediate tables in the folder that all executors share, and joins of bounded broadcasts."""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key of more rows than this, and than a HOT_KEYS-th of all, is hot: so at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
+
 _made: list[tuple[SparkSession, str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset."""
+    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset and the master is local."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -34,8 +40,8 @@ def _clear() -> None:
     for spark, path in _made:
         try:
             remove(spark, path)
-        except Exception:  # the session may have ended; the folder is temporary anyway
-            return
+        except Exception:  # the session may have ended; the other folders may be another one's
+            continue
 
 
 def filesystem(spark: SparkSession, path: str):
@@ -58,6 +64,36 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], name: str, dropped: int | None = None) -> DataFrame:
+    """What ``make`` returns, ``saved``; then the tables go that were written since it began, or since ``mark`` gave ``dropped``."""
+    first = len(_made) if dropped is None else dropped
+    out = saved(make(), name)
+    for spark, path in _made[first:-1]:
+        remove(spark, path)
+    del _made[first:-1]
+    return out
+
+
+def mark() -> int:
+    """How many tables have been written so far."""
+    return len(_made)
+
+
+def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``: a written table of one row a key, which has in ``count`` how many rows of ``left`` have that key.
+
+    The hot keys, HOT_KEYS at most, are broadcast, so that no task gets all rows of one; the rest is joined as Spark likes.
+    """
+    rows, most = (x or 0 for x in right.agg(F.sum(count), F.max(count)).first())
+    bound = max(HOT_ROWS, -(-rows // HOT_KEYS))
+    if most <= bound:
+        return left.join(right, keys, how)
+    is_hot = F.col(count) > bound
+    hot = right.filter(is_hot)
+    cold = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(right.filter(~is_hot), keys, how)
+    return cold.unionByName(left.join(F.broadcast(hot), keys))
+
+
 def _bit(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 

@@ -22,7 +22,8 @@ Texts that occur more than once are told by a 128-bit hash first: every window
 of theirs repeats, so nothing of them needs to be grouped, and one of them
 emits its windows for the others' sake.  A very common window costs one row for each text that has
 it; counts are summed before they are shuffled, and the join back to the places
-is an ordinary sort-merge join that adaptive execution splits at hot windows.
+is an ordinary sort-merge join that adaptive execution splits at hot windows.  The few keys
+of the largest groups of equal texts are broadcast instead of shuffled.
 
 Limits: the sketch has at most ``max_cells`` cells a row (64 MB of counters in
 a worker).  A smaller or full sketch never changes the result.
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernels as K
-from gridloom.llm.scratch import near_members, saved
+from gridloom.llm.scratch import join_counted, near_members, saved
 
 WINDOW = 35
 GRAM = 8
@@ -224,8 +225,9 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_
     shared = spark.sparkContext.broadcast(sketch.tobytes())
 
     places = survey.filter("kind = 0").drop("kind", "slice", "cells")
-    copies = places.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1")
-    places = places.join(copies, ["k1", "k2"], "left")
+    # written first, as all aggregates that are joined on a key that may be hot: a join of two plain exchanges is one that adaptive execution can split
+    copies = saved(places.groupBy("k1", "k2").agg(F.count("*").alias("copies")).filter("copies > 1"), "copies")
+    places = join_counted(places, copies, ["k1", "k2"], "copies", "left")
 
     def by_text(marks: DataFrame, name: str) -> DataFrame:
         """(rid, tag, ``name``): the places of each text."""
@@ -237,7 +239,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, max_cells: int = MAX_
     anchored = saved(by_text(anchors.join(repeated, "gram"), "anchors"), "anchored")
     # of equal texts that several partitions have given, one is enough
     equal = anchored.select("rid", "tag").join(places.filter("copies is not null").select("rid", "tag", "k1", "k2").distinct(), ["rid", "tag"])
-    first = equal.groupBy("k1", "k2").agg(F.min("rid").alias("first"))
+    equal = saved(equal, "equal")
+    first = saved(equal.groupBy("k1", "k2").agg(F.min("rid").alias("first")), "first")
     spare = equal.join(first, ["k1", "k2"]).filter("rid <> first").select("rid", "tag")
     anchored = saved(anchored.join(spare, ["rid", "tag"], "left_anti"), "anchored")
     texts = docs.select(F.col("doc_id").alias("rid"), "text").filter("rid is not null")

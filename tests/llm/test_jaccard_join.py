@@ -49,7 +49,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "over", "list_pairs"), [(4, 85, 64, 1 << 10), (5, 80, 1, 3), (4, 85, -63, 0)])
+@pytest.mark.parametrize(("width", "percent", "over", "list_pairs"), [(4, 85, 64, 1 << 10), (5, 80, 1, 3), (4, 85, 0, 0)])
 def test_matches_brute_force(spark, monkeypatch, width, percent, over, list_pairs):
     monkeypatch.setattr("gridloom.llm.jaccard_join.FREQUENT_OVER", over)
     rows = corpus(width)
