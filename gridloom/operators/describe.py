@@ -35,15 +35,23 @@ def sparsity(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
 
 
 def quality_counts(expr: DataFrame, cells: DataFrame, genes: DataFrame) -> DataFrame:
-    """One row: NaN, infinite, negative and fractional values; cells and genes that sum to 0; density."""
+    """One row: NaN, infinite, negative and fractional values; cells and genes that sum to 0; density.
+
+    Entries of cells that ``cells`` lacks don't count.
+    """
     v = F.col("value")
-    whole = expr.agg(F.count_if(F.isnan(v)).alias("n_nan"), F.count_if(F.abs(v) == F.lit(float("inf"))).alias("n_inf"), F.count_if((v < 0) & ~F.isnan(v)).alias("n_neg"), F.count_if((F.abs(v - F.rint(v)) > INTEGER_TOLERANCE) & ~F.isnan(v) & (F.abs(v) < float("inf"))).alias("n_frac"), F.count("*").alias("entries"))
+    counts = {"n_nan": F.isnan(v), "n_inf": F.abs(v) == float("inf"), "n_neg": (v < 0) & ~F.isnan(v), "n_frac": (F.abs(v - F.rint(v)) > INTEGER_TOLERANCE) & ~F.isnan(v) & (F.abs(v) < float("inf"))}
+
+    def by(keys: DataFrame, key: str, *more) -> DataFrame:
+        return keys.select(key).join(expr.groupBy(key).agg(F.sum("value").alias("s"), *more), key, "left")
 
-    def empty(keys: DataFrame, key: str) -> DataFrame:
-        sums = expr.groupBy(key).agg(F.sum("value").alias("s"))
-        return keys.select(key).join(sums, key, "left").agg(F.count_if(F.coalesce("s", F.lit(0.0)) == 0).alias(f"zero_{key[:4]}s"), F.count("*").alias(f"n_{key[:4]}s"))
+    def empty(key: str):
+        return F.count_if(F.coalesce("s", F.lit(0.0)) == 0).alias(f"zero_{key}"), F.count("*").alias(f"n_{key}")
 
-    row = whole.crossJoin(empty(cells, "cell_id")).crossJoin(empty(genes, "gene_id"))
+    # one pass by cell gives the counts of all entries too, those of cells that are not listed left out
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    cell = by(cells, "cell_id", *[F.count_if(x).alias(c) for c, x in counts.items()], F.count("*").alias("entries"))
+    row = cell.agg(*[total(c) for c in (*counts, "entries")], *empty("cells")).crossJoin(by(genes, "gene_id").agg(*empty("genes")))
     size = F.col("n_cells") * F.col("n_genes")
     return row.select("n_nan", "n_inf", "n_neg", "n_frac", F.col("zero_cells"), F.col("zero_genes"), F.when(size > 0, F.col("entries") / size).otherwise(0.0).alias("density"))
 

@@ -13,8 +13,11 @@ def gene_moments(log_expr: DataFrame, genes: DataFrame, n_cells: DataFrame) -> D
     """(gene_id, mean, variance) of expm1(value) over all cells, absent entries as 0; genes without entries have 0 for both.
 
     ``n_cells`` is a one-row, one-column table.  The variance is of the population.
+    A NaN or infinite value, before or after expm1, raises when the table is computed.
     """
     x = F.expm1("value")
+    bad = F.isnan(x) | (F.abs(x) == float("inf"))
+    x = F.when(bad, F.raise_error(F.concat(F.lit("the matrix has NaN or infinite values: gene "), F.col("gene_id").cast("string"))).cast("double")).otherwise(x)
     sums = log_expr.groupBy("gene_id").agg(F.sum(x).alias("s1"), F.sum(x * x).alias("s2"))
     full = genes.select("gene_id").join(sums, "gene_id", "left").crossJoin(F.broadcast(n_cells.toDF("n"))).withColumn("mean", F.coalesce("s1", F.lit(0.0)) / F.col("n"))
     return full.select("gene_id", "mean", (F.coalesce("s2", F.lit(0.0)) / F.col("n") - F.col("mean") * F.col("mean")).alias("variance"))

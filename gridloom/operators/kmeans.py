@@ -6,8 +6,8 @@ returns partial sums of each partition, summed by key before they are collected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.sources.scratch import saved
+
 MAX_ITER, TOL, N_INIT, SEED = 300, 1e-4, 3, 42
 SEED_ROWS = 10_000
 
@@ -86,8 +88,9 @@ def _pass(rows: DataFrame, fits: dict[int, np.ndarray]) -> dict[int, tuple[np.nd
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[int, list] = {}
         for batch in batches:
+            x = None
             for key, centroids in shared.value.items():
-                x = _matrix(batch["pc"], centroids.shape[1])
+                x = _matrix(batch["pc"], centroids.shape[1]) if x is None else x
                 own, distance = nearest(x, centroids)
                 got = sums.setdefault(key, [np.zeros_like(centroids), np.zeros(len(centroids)), np.zeros(len(centroids))])
                 np.add.at(got[0], own, x)
@@ -156,18 +159,42 @@ def sampled_plus_plus(rows: DataFrame, k: int, seed: int = SEED, size: int = SEE
 
 
 def gumbel_seeds(rows: DataFrame, k: int, seed: int = SEED) -> np.ndarray:
-    """k-means++ over all rows without their distribution: the next centroid has the largest ln(distance) + Gumbel noise.
+    """k-means++ over all rows without their distribution: the next centroid has the largest ln(distance) + Gumbel noise."""
+    return gumbel_chains(rows, k, [seed])[0]
+
 
-    Each step is one pass; noise comes from a hash of the id, so reruns agree.
+def gumbel_chains(rows: DataFrame, k: int, seeds: list[int]) -> list[np.ndarray]:
+    """``gumbel_seeds`` of several seeds, in the same passes: one a centroid, whatever the chains.
+
+    A pass gives the best row of each batch and chain, and the best of these with its
+    coordinates, so nothing is sorted or read again.  Noise comes from a hash of the id, so
+    reruns agree.  The first centroid is the row of the largest noise; ties go to the lowest id.
     """
-    first = rows.orderBy(F.xxhash64(F.lit(seed), "cell_id"), "cell_id").limit(1).select("pc").collect()
-    chosen = [np.array(r.pc, np.float64) for r in first]
-    uniform = lambda step: (F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "cell_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    while chosen and len(chosen) < k:
-        scored = assign(rows, np.array(chosen)).withColumn("score", F.log(F.col("distance") + 1e-10) - F.log(-F.log(uniform(len(chosen)))))
-        best = scored.orderBy(F.desc("score"), "cell_id").limit(1).select("cell_id").first().cell_id
-        chosen.append(np.array(rows.filter(F.col("cell_id") == best).select("pc").first().pc, np.float64))
-    return np.array(chosen)
+    chosen: list[list[np.ndarray]] = [[] for _ in seeds]
+    unit = lambda seed, step: ((F.pmod(F.xxhash64(F.lit(seed), F.lit(step), "cell_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52))
+    for step in range(k):
+        shared = rows.sparkSession.sparkContext.broadcast([np.array(c) for c in chosen])
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if not len(batch):
+                    continue
+                x = _matrix(batch["pc"], len(batch["pc"].iloc[0]))
+                for chain, centroids in enumerate(shared.value):
+                    score = -np.log(-np.log(batch[f"u{chain}"].to_numpy()))
+                    if len(centroids):
+                        score = score + np.log(nearest(x, centroids)[1] + 1e-10)
+                    best = np.lexsort((batch["cell_id"].to_numpy(), -score))[0]
+                    yield pd.DataFrame({"chain": [chain], "score": [score[best]], "cell_id": [batch["cell_id"].iloc[best]], "pc": [x[best]]})
+
+        noisy = rows.select("cell_id", "pc", *[unit(s, step).alias(f"u{c}") for c, s in enumerate(seeds)])
+        found = noisy.mapInPandas(run, "chain int, score double, cell_id long, pc array<double>")
+        best = found.groupBy("chain").agg(F.max_by("pc", F.struct("score", -F.col("cell_id"))).alias("pc")).collect()
+        if not best:
+            break
+        for r in best:
+            chosen[r.chain].append(np.array(r.pc, np.float64))
+    return [np.array(c) for c in chosen]
 
 
 def fit_k(rows: DataFrame, k: int, chains: list[np.ndarray], max_iter: int = MAX_ITER, tol: float = TOL) -> Fit:
@@ -176,13 +203,17 @@ def fit_k(rows: DataFrame, k: int, chains: list[np.ndarray], max_iter: int = MAX
     return min(fits.items(), key=lambda f: (f[1].wcss, f[0]))[1]
 
 
-def sweep(rows: DataFrame, ks: list[int], n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER, tol: float = TOL, threads: int = 4) -> dict[int, Fit]:
-    """Fits for each K, from shared seed chains as long as the largest; jobs of several K run side by side."""
+def sweep(rows: DataFrame, ks: list[int], n_init: int = N_INIT, seed: int = SEED, max_iter: int = MAX_ITER, tol: float = TOL) -> dict[int, Fit]:
+    """Fits for each K, from shared seed chains as long as the largest; the runs of all K and chains share their passes."""
     rows = rows.persist()
     try:
-        chains = [gumbel_seeds(rows, max(ks), seed + 1000 * r) for r in range(n_init)]
-        with ThreadPoolExecutor(threads) as pool:
-            return dict(zip(ks, pool.map(lambda k: fit_k(rows, k, chains, max_iter, tol), ks), strict=True))
+        chains = gumbel_chains(rows, max(ks), [seed + 1000 * r for r in range(n_init)])
+        runs = [(k, r) for k in ks for r in range(n_init)]
+        fits = lloyd(rows, {i: chains[r][:k] for i, (k, r) in enumerate(runs)}, max_iter, tol)
+        best: dict[int, tuple[float, int]] = {}
+        for i, (k, _) in enumerate(runs):
+            best[k] = min(best.get(k, (math.inf, i)), (fits[i].wcss, i))
+        return {k: fits[i] for k, (_, i) in best.items()}
     finally:
         rows.unpersist()
 
@@ -199,39 +230,47 @@ class MiniBatch:
     def start(cls, centroids: np.ndarray) -> MiniBatch:
         return cls(np.array(centroids, np.float64), np.zeros(len(centroids)))
 
-    def update(self, sums: np.ndarray, n: np.ndarray, share: float) -> float:
-        """Move centroids towards a batch's means; ``share`` is the weight of its shift in the average, which is returned."""
+    def update(self, sums: np.ndarray, n: np.ndarray, share: float | None) -> float | None:
+        """Move centroids towards a batch's means; ``share`` is the weight of its shift in the average, which is returned; None leaves the average."""
         old = self.centroids
         self.counts = self.counts + n
         means = sums / np.maximum(n, 1)[:, None]
         rate = np.where(n > 0, n / np.maximum(self.counts, 1), 0)[:, None]
         self.centroids = old + rate * (np.where(n[:, None] > 0, means, old) - old)
+        if share is None:
+            return self.average
         shift = float(np.linalg.norm(self.centroids - old) / max(np.linalg.norm(old), 1e-12))
         self.average = shift if self.average is None else (1 - share) * self.average + share * shift
         return self.average
 
 
-def fit_minibatch(rows: DataFrame, k: int, batch: int = 5000, max_iter: int = 2000, tol: float = 3e-4, seed: int = SEED) -> tuple[np.ndarray, int]:
+def fit_minibatch(rows: DataFrame, k: int, batch: int = 5000, max_iter: int = 2000, tol: float = 3e-4, seed: int = SEED, eval_every: int = 1, patience: int = 1) -> tuple[np.ndarray, int]:
     """Centroids and iterations: batches by hash of the id, until the average relative shift is below ``tol``.
 
-    A batch larger than the data is all of it.
+    The shift of every ``eval_every``-th batch goes into the average; ``patience`` evaluations
+    in a row must be below.  A batch larger than the data is all of it.  Rows are
+    written once in order of their batch, so that a batch reads its own row groups, not the table;
+    epochs take the batches in orders of their own.
     """
-    rows = rows.persist()
-    try:
-        n = rows.count()
-        model = MiniBatch.start(sampled_plus_plus(rows, k, seed))
-        share = min(1.0, 5.0 * batch / max(n, 1))
-        parts = max(1, n // batch)
-        for i in range(max_iter):
-            # a permutation of parts in each epoch
-            salt, part = divmod(i, parts)
-            drawn = rows.filter(F.pmod(F.xxhash64(F.lit(seed + salt), "cell_id"), F.lit(parts)) == part)
-            total, counts, _ = _pass(drawn, {0: model.centroids})[0]
-            if model.update(total, counts, share) < tol:
+    rows = rows.select("cell_id", "pc")
+    n = rows.count()
+    parts = max(1, n // batch)
+    if parts > 1:
+        dealt = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "cell_id"), F.lit(parts)))
+        rows = saved(dealt.repartitionByRange("part").sortWithinPartitions("part"), "batches")
+    model = MiniBatch.start(sampled_plus_plus(rows, k, seed))
+    share, below = min(1.0, 5.0 * batch / max(n, 1)), 0
+    for i in range(max_iter):
+        epoch, place = divmod(i, parts)
+        drawn = rows if parts == 1 else rows.filter(F.col("part") == int(np.random.default_rng((seed, epoch)).permutation(parts)[place]))
+        total, counts, _ = _pass(drawn, {0: model.centroids})[0]
+        judged = (i + 1) % eval_every == 0
+        average = model.update(total, counts, share if judged else None)
+        if judged:
+            below = below + 1 if average < tol else 0
+            if below >= patience:
                 return model.centroids, i + 1
-        return model.centroids, max_iter
-    finally:
-        rows.unpersist()
+    return model.centroids, max_iter
 
 
 def minibatch_sweep(rows: DataFrame, ks: list[int], batch: int = 10_000, n_init: int = 3, max_iter: int = 100, tol: float = 3e-4, seed: int = SEED) -> dict[int, Fit]:

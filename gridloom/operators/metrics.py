@@ -32,11 +32,17 @@ def silhouettes_squared(rows: DataFrame, labels: DataFrame) -> DataFrame:
     stats = long.groupBy("cluster", "dim").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"), F.count("*").alias("n"))
     whole = stats.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("dim", "s"))).alias("e"), F.sum("q").alias("q"), F.max("n").alias("n")).select(F.col("cluster").alias("other"), F.col("e.s").alias("s"), "q", "n")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda t, v: t + v)
-    pairs = points.withColumn("xx", dot("pc", "pc")).crossJoin(F.broadcast(whole))  # k rows on the right
-    total = F.greatest(F.col("n") * F.col("xx") - 2 * dot("pc", "s") + F.col("q"), F.lit(0.0))
-    own = F.col("other") == F.col("cluster")
-    mean = F.when(own, F.when(F.col("n") > 1, total / (F.col("n") - 1)).otherwise(0.0)).otherwise(total / F.col("n"))
-    by = pairs.groupBy("cell_id", "cluster").agg(F.max(F.when(own, mean)).alias("a"), F.min(F.when(~own, mean)).alias("b"))
+    clusters = whole.agg(F.collect_list(F.struct("other", "s", "q", "n")).alias("clusters"))  # one row of k sums
+    each = points.withColumn("xx", dot("pc", "pc")).crossJoin(F.broadcast(clusters))
+
+    def mean(c):
+        total = F.greatest(c["n"] * F.col("xx") - 2 * dot("pc", c["s"]) + c["q"], F.lit(0.0))
+        own = c["other"] == F.col("cluster")
+        return F.struct(own.alias("own"), F.when(own, F.when(c["n"] > 1, total / (c["n"] - 1)).otherwise(0.0)).otherwise(total / c["n"]).alias("mean"))
+
+    means = each.select("cell_id", "cluster", F.transform("clusters", mean).alias("means"))
+    of = lambda own: F.transform(F.filter("means", lambda m: m["own"] if own else ~m["own"]), lambda m: m["mean"])
+    by = means.select("cell_id", "cluster", F.array_max(of(True)).alias("a"), F.array_min(of(False)).alias("b"))
     top = F.greatest("a", "b")
     return by.select("cell_id", "cluster", F.when(F.col("b").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("s"))
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import describe, features, kmeans, metrics, normalize, pca, qc
 from gridloom.plans import domain as D
 from gridloom.sources import arrays, matrix
+from gridloom.sources.scratch import saved, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,14 +81,20 @@ SQL = {
 # ---- quality control
 
 
-def _qc(spark: SparkSession, sf_dir: str) -> tuple[matrix.Matrix, DataFrame, DataFrame]:
+def _written(spark: SparkSession, sf_dir: str) -> matrix.Matrix:
+    """The matrix with its entries summed once, for plans that read them several times."""
     m = D.customer_parts(spark, sf_dir)
+    return matrix.Matrix(saved(m.expr, "expr"), m.cells, m.genes)
+
+
+def _qc(spark: SparkSession, sf_dir: str) -> tuple[matrix.Matrix, DataFrame, DataFrame]:
+    m = _written(spark, sf_dir)
     cells = qc.valid_cells(qc.cell_metrics(m.expr, m.genes), D.MIN_GENES, D.MAX_PCT_MT).select("cell_id")
     return m, cells, matrix.gather_cells(m.expr, cells)
 
 
 def _filtered(spark: SparkSession, sf_dir: str) -> matrix.Matrix:
-    return qc.quality_control(D.customer_parts(spark, sf_dir), D.MIN_GENES, D.MIN_CELLS, D.MAX_PCT_MT, D.MIN_MEAN)
+    return qc.quality_control(_written(spark, sf_dir), D.MIN_GENES, D.MIN_CELLS, D.MAX_PCT_MT, D.MIN_MEAN)
 
 
 @query(with_sql("SELECT cell_id, n_genes, total, mt_counts, round(pct_mt, 6) AS pct_mt FROM metrics", "metrics"))
@@ -144,6 +150,7 @@ def gene_flags(spark, sf_dir):
 @query(with_sql("SELECT (SELECT count(*) FROM (SELECT gene_id FROM filtered EXCEPT SELECT gene_id FROM kept_genes)) AS new_genes, (SELECT count(*) FROM (SELECT cell_id FROM filtered EXCEPT SELECT cell_id FROM kept_cells)) AS new_cells, (SELECT count(*) FROM (SELECT gene_id FROM genes EXCEPT SELECT gene_id FROM kept_genes)) AS dropped_genes", "filtered", "kept_genes", "kept_cells", "genes"))
 def subset_tests(spark, sf_dir):
     m, out = D.customer_parts(spark, sf_dir), _filtered(spark, sf_dir)
+    out = matrix.Matrix(saved(out.expr, "kept"), out.cells, out.genes)
     outside = lambda a, b, key, name: a.select(key).distinct().join(b, key, "left_anti").agg(F.count("*").alias(name))
     return outside(out.expr, out.genes, "gene_id", "new_genes").crossJoin(outside(out.expr, out.cells, "cell_id", "new_cells")).crossJoin(outside(m.genes, out.genes, "gene_id", "dropped_genes"))
 
@@ -195,16 +202,11 @@ def matrix_row_offsets(spark, sf_dir):
 def labels_partitioned(spark, sf_dir):
     """Labels written partitioned by k and one k read back: the filter prunes partitions."""
     rows = D.vectors(spark, sf_dir).select("cell_id", F.explode(F.array(F.lit(2), F.lit(3))).alias("k")).withColumn("cluster", F.pmod("cell_id", "k").cast("int"))
-    path = _scratch(spark)
+    path = scratch_path(spark, "labels")
     arrays.write_labels(rows, path)
     return spark.read.schema("cell_id long, cluster int, k int").parquet(path).filter("k = 3").select("cell_id", "k", "cluster")
 
 
-def _scratch(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/gridloom-query-{uuid.uuid4().hex}"
-
-
 # ---- descriptions and validation
 
 
@@ -237,36 +239,100 @@ def quality_counts(spark, sf_dir):
 
 @query(with_sql("SELECT * FROM (" + QUALITY.format(x="logs") + ")", "logs", "cells", "genes"))
 def quality_counts_normalized(spark, sf_dir):
-    m = D.customer_parts(spark, sf_dir)
-    return rounded(describe.quality_counts(_logs(spark, sf_dir)[1], m.cells, m.genes), "density", digits=9)
+    m, logs = _logs(spark, sf_dir)
+    return rounded(describe.quality_counts(logs, m.cells, m.genes), "density", digits=9)
+
 
+# the stages after quality control over the filtered matrix: clusters of it, then factors, entries and genes as above
+SQL["s_centres"] = re.sub(r"\bexpr\b", "filtered", SQL["part_centres"])
+SQL["s_labels"] = "SELECT cell_id, cluster, distance FROM (SELECT x.cell_id, n.cluster, greatest(x.xn - 2 * coalesce(d.dot, 0) + n.cn, 0) AS distance FROM (SELECT cell_id, sum(value * value) AS xn FROM filtered GROUP BY 1) x CROSS JOIN (SELECT cluster, sum(c * c) AS cn FROM s_centres GROUP BY 1) n LEFT JOIN (SELECT cell_id, cluster, sum(value * c) AS dot FROM filtered JOIN s_centres USING (gene_id) GROUP BY 1, 2) d ON d.cell_id = x.cell_id AND d.cluster = n.cluster) QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY distance, cluster) = 1"
+SQL["s_cells"] = "SELECT c.cell_id, c.barcode, CAST(l.cluster AS VARCHAR) AS cluster FROM cells c JOIN s_labels l ON l.cell_id = c.cell_id"
+_NORMAL = ("blocked", "libs", "thetas", "pseudo", "reference", "scales", "factors", "logs")
+for _name in _NORMAL:
+    _body = re.sub(r"\bexpr\b", "filtered", re.sub(r"\bcells\b", "s_cells", SQL[_name]))
+    SQL[f"s_{_name}"] = re.sub(r"\b(" + "|".join(_NORMAL) + r")\b", r"s_\1", _body)
 
+
+def _quality_sql(entries: str, cells: str) -> str:
+    return re.sub(r"\bcells\b", cells, re.sub(r"\bgenes\b", "kept_genes", QUALITY)).format(x=entries)
+
+
+def _stage_sql(stage: str, table: str, whole: bool) -> str:
+    checks = [
+        ("nan_inf", "CASE WHEN n_nan + n_inf > 0 THEN 'FALHA' ELSE 'OK' END", "'NaN=' || n_nan || ', Inf=' || n_inf"),
+        ("negative", "CASE WHEN n_neg > 0 THEN 'FALHA' ELSE 'OK' END", "n_neg || ' negative'"),
+        *([("integer", "CASE WHEN n_frac > 0 THEN 'AVISO' ELSE 'OK' END", "n_frac || ' fractional'")] if whole else []),
+        ("density", "'OK'", "format('{:.3f}', density * 100) || '% non-zero'"),
+        ("zero_cells", "CASE WHEN zero_cells > 0 THEN 'AVISO' ELSE 'OK' END", "zero_cells || ' cells'"),
+        ("zero_genes", "CASE WHEN zero_genes > 0 THEN 'AVISO' ELSE 'OK' END", "zero_genes || ' genes'"),
+    ]
+    return " UNION ALL ".join(f"SELECT '{stage}' AS stage, '{name}' AS \"check\", {status} AS status, {detail} AS detail FROM {table}" for name, status, detail in checks)
+
+
+LABEL_KS = (2, 4)
+REPORT_PARTS = (
+    ", q AS (" + _quality_sql("filtered", "kept_cells") + "), z AS (" + _quality_sql("s_logs", "s_cells") + "), r AS (SELECT (SELECT count(*) FROM cells) AS raw, (SELECT count(*) FROM kept_cells) AS kept, (SELECT count(*) FROM s_cells) AS clustered,"
+    " (SELECT count(DISTINCT cell_id) FROM s_logs) AS normal, (SELECT count(*) FROM s_cells) AS scores, (SELECT count(*) FROM s_cells WHERE cell_id NOT IN (SELECT cell_id FROM kept_cells)) AS new_cells,"
+    " (SELECT count(DISTINCT gene_id) FROM s_logs WHERE gene_id NOT IN (SELECT gene_id FROM kept_genes)) AS new_genes, (SELECT count(*) - count(DISTINCT barcode) FROM cells WHERE cell_id IN (SELECT cell_id FROM kept_cells)) AS twice)\n"
+)
 REPORT = (
-    "SELECT 'kept' AS stage, unnest(['nan_inf', 'negative', 'integer', 'density', 'zero_cells', 'zero_genes']) AS \"check\","
-    " unnest([CASE WHEN n_nan + n_inf > 0 THEN 'FALHA' ELSE 'OK' END, CASE WHEN n_neg > 0 THEN 'FALHA' ELSE 'OK' END, CASE WHEN n_frac > 0 THEN 'AVISO' ELSE 'OK' END, 'OK', CASE WHEN zero_cells > 0 THEN 'AVISO' ELSE 'OK' END, CASE WHEN zero_genes > 0 THEN 'AVISO' ELSE 'OK' END]) AS status FROM q"
+    _stage_sql("kept", "q", True) + " UNION ALL " + _stage_sql("normal", "z", False)
+    # what holds of components by their definition
+    + f" UNION ALL SELECT 'pca', unnest(['nan_inf', 'n_components', 'decreasing_variance', 'centred']), 'OK', unnest(['0 values', '{pca.N_PCS} of {pca.N_PCS}', '', ''])"
     " UNION ALL SELECT 'pipeline', unnest(['raw_to_kept', 'kept_is_clustered', 'kept_to_normal', 'normal_is_scores', 'genes_equal', 'genes_subset', 'barcodes_subset', 'duplicate_barcodes']),"
-    " unnest([CASE WHEN kept <= raw THEN 'OK' ELSE 'FALHA' END, 'OK', CASE WHEN normal = kept THEN 'OK' WHEN kept - normal < 0.01 * kept AND kept > normal THEN 'AVISO' ELSE 'FALHA' END, CASE WHEN normal = scores THEN 'OK' ELSE 'FALHA' END, 'OK', 'OK', 'OK', 'OK']) FROM r"
-)
-REPORT_PARTS = ", q AS (" + QUALITY.format(x="kept_expr") + "), r AS (SELECT (SELECT count(*) FROM cells) AS raw, (SELECT count(*) FROM kept_cells) AS kept, (SELECT count(DISTINCT cell_id) FROM filtered) AS normal, (SELECT count(DISTINCT cell_id) FROM filtered) AS scores)\n"
+    " unnest([CASE WHEN kept <= raw THEN 'OK' ELSE 'FALHA' END, CASE WHEN kept = clustered THEN 'OK' ELSE 'FALHA' END, CASE WHEN normal = kept THEN 'OK' WHEN kept - normal < 0.01 * kept AND kept > normal THEN 'AVISO' ELSE 'FALHA' END,"
+    " CASE WHEN normal = scores THEN 'OK' ELSE 'FALHA' END, 'OK', CASE WHEN new_genes = 0 THEN 'OK' ELSE 'FALHA' END, CASE WHEN new_cells = 0 THEN 'OK' ELSE 'FALHA' END, CASE WHEN twice = 0 THEN 'OK' ELSE 'FALHA' END]),"
+    " unnest([raw || ' to ' || kept, kept || ' to ' || clustered, kept || ' to ' || normal, normal || ' to ' || scores, '0', new_genes || '', new_cells || '', twice || '']) FROM r"
+    + "".join(f" UNION ALL SELECT 'labels', 'k{k}', CASE WHEN clustered = scores THEN 'OK' ELSE 'FALHA' END, clustered || ' of ' || scores FROM r" for k in LABEL_KS)
+)
+REPORT_NEEDS = ("cells", "kept_cells", "kept_genes", "filtered", "s_cells", "s_logs")
 
 
 def _report(spark, sf_dir) -> DataFrame:
-    m, kept, expr = _qc(spark, sf_dir)
-    out = _filtered(spark, sf_dir)
-    stage = describe.stage_report("kept", describe.quality_counts(expr, m.cells, m.genes), True)
-    normal = m.cells.join(out.expr.select("cell_id").distinct(), "cell_id", "left_semi")
-    across = describe.consistency_report(m.cells, out.cells, out.cells, normal, normal, out.genes, out.genes, out.genes)
-    return stage.unionByName(across)
-
-
-@query(with_sql("", "kept_expr", "cells", "genes", "kept_cells", "filtered").rstrip() + REPORT_PARTS + REPORT)
+    """The validator over stages that are each written and read back: filtered, clustered, normalised, scores, labels."""
+    raw = _written(spark, sf_dir)
+    path = scratch_path(spark, "kept")
+    matrix.write_matrix(qc.quality_control(raw, D.MIN_GENES, D.MIN_CELLS, D.MAX_PCT_MT, D.MIN_MEAN), path)
+    kept = matrix.read_matrix(spark, path)
+    labels = kmeans.sparse_assign(kept.expr, _first_cells(kept.expr, 5)).select("cell_id", F.col("cluster").cast("string").alias("cluster"))
+    cells = saved(kept.cells.select("cell_id", "barcode").join(labels, "cell_id"), "clustered")
+    clustered = matrix.Matrix(kept.expr, cells, saved(kept.genes, "genes"))
+    logs = saved(_normalized(clustered), "logs")
+    scores = saved(_hvg_scores(clustered, logs)[0], "scores")
+    fits = kmeans.lloyd(scores, {k: kmeans.lowest_ids(scores, k) for k in LABEL_KS}, 3, 0)
+    path = scratch_path(spark, "labels")
+    final = [kmeans.assign(scores, fits[k].centroids).select("cell_id", F.lit(k).alias("k"), "cluster") for k in LABEL_KS]
+    arrays.write_labels(final[0].unionByName(final[1]), path)
+    final = spark.read.schema("cell_id long, cluster int, k int").parquet(path)
+    having = lambda table, key, of: table.join(of.select(key).distinct(), key, "left_semi")
+    parts = [
+        describe.stage_report("kept", describe.quality_counts(kept.expr, kept.cells, kept.genes), True),
+        describe.stage_report("normal", describe.quality_counts(logs, cells, kept.genes), False),
+        describe.pca_report("pca", scores),
+        describe.consistency_report(raw.cells, kept.cells, cells, having(cells, "cell_id", logs), having(cells, "cell_id", scores), kept.genes, clustered.genes, having(raw.genes, "gene_id", logs)),
+        describe.labels_report(final, scores.agg(F.count("*"))),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _first_cells(expr: DataFrame, k: int) -> DataFrame:
+    """The rows of the ``k`` lowest ids as sparse centroids."""
+    first = expr.select("cell_id").distinct().orderBy("cell_id").limit(k).selectExpr("cell_id", "cast(row_number() over (order by cell_id) - 1 as int) as cluster")
+    return expr.join(F.broadcast(first), "cell_id").select("cluster", "gene_id", "value")
+
+
+@query(with_sql("", *REPORT_NEEDS).rstrip() + REPORT_PARTS + REPORT)
 def integrity_report(spark, sf_dir):
-    return _report(spark, sf_dir).select("stage", "check", "status")
+    return _report(spark, sf_dir)
 
 
-@query(with_sql("", "kept_expr", "cells", "genes", "kept_cells", "filtered").rstrip() + REPORT_PARTS + "SELECT status, count(*) AS n FROM (" + REPORT + ") GROUP BY 1")
+@query(with_sql("", "filtered", "kept_cells", "kept_genes").rstrip() + ", q AS (" + _quality_sql("filtered", "kept_cells") + ") SELECT status, count(*) AS n FROM (" + _stage_sql("kept", "q", True) + ") GROUP BY 1")
 def status_tally(spark, sf_dir):
-    return describe.status_tally(_report(spark, sf_dir))
+    kept = _filtered(spark, sf_dir)
+    return describe.status_tally(describe.stage_report("kept", describe.quality_counts(saved(kept.expr, "kept"), kept.cells, kept.genes), True))
 
 
 @query("SELECT 'labels' AS stage, 'k' || k AS \"check\", CASE WHEN n = (SELECT count(*) FROM embeddings) THEN 'OK' ELSE 'FALHA' END AS status, n || ' of ' || (SELECT count(*) FROM embeddings) AS detail FROM (SELECT 2 AS k, count(*) AS n FROM embeddings UNION ALL SELECT 3, count(*) FILTER (vec_id > 5) FROM embeddings)")
@@ -305,15 +371,19 @@ def stage_durations(spark, sf_dir):
 
 
 def _blocked(spark, sf_dir):
-    m = D.customer_parts(spark, sf_dir)
+    m = _written(spark, sf_dir)
     return m, normalize.blocks(m.cells, D.MAX_BLOCK)
 
 
+def _normalized(m: matrix.Matrix) -> DataFrame:
+    """Log-normalised entries by library sizes within blocks of the cells' clusters."""
+    thetas = saved(normalize.library_factors(m.expr, normalize.blocks(m.cells, D.MAX_BLOCK)), "thetas")
+    return normalize.log_normalize(m.expr, normalize.size_factors(thetas, normalize.block_scales(m.expr, thetas)))
+
+
 def _logs(spark, sf_dir):
-    m, blocked = _blocked(spark, sf_dir)
-    thetas = normalize.library_factors(m.expr, blocked)
-    factors = normalize.size_factors(thetas, normalize.block_scales(m.expr, thetas))
-    return m, normalize.log_normalize(m.expr, factors)
+    m = _written(spark, sf_dir)
+    return m, saved(_normalized(m), "logs")
 
 
 @query(with_sql("SELECT cell_id, cluster, block FROM blocked", "blocked"))
@@ -330,13 +400,13 @@ def libsize_factors(spark, sf_dir):
 @query(with_sql("SELECT cluster, block, round(scale, 6) AS scale FROM scales", "scales"))
 def block_rescale(spark, sf_dir):
     m, blocked = _blocked(spark, sf_dir)
-    return rounded(normalize.block_scales(m.expr, normalize.library_factors(m.expr, blocked)), "scale")
+    return rounded(normalize.block_scales(m.expr, saved(normalize.library_factors(m.expr, blocked), "thetas")), "scale")
 
 
 @query(with_sql("SELECT cluster, block, gene_id, round(value, 6) AS value FROM pseudo", "pseudo"))
 def pseudo_cells(spark, sf_dir):
     m, blocked = _blocked(spark, sf_dir)
-    return rounded(normalize.pseudo_cells(m.expr, normalize.library_factors(m.expr, blocked)), "value")
+    return rounded(normalize.pseudo_cells(m.expr, saved(normalize.library_factors(m.expr, blocked), "thetas")), "value")
 
 
 @query(with_sql("SELECT cell_id, gene_id, round(value, 6) AS value FROM logs", "logs"))
@@ -374,11 +444,24 @@ def pool_medians_all(spark, sf_dir):
     return rounded(normalize.pool_table(m.expr, blocked, (1, *normalize.WIDTHS)), "ratio")
 
 
+def _deconvolved(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    m, blocked = _blocked(spark, sf_dir)
+    thetas = saved(normalize.deconvolution_factors(m.expr, blocked), "thetas")
+    return thetas, normalize.size_factors(thetas, normalize.block_scales(m.expr, thetas))
+
+
 @query()
 def deconv_size_factors(spark, sf_dir):
-    m, blocked = _blocked(spark, sf_dir)
-    thetas = normalize.deconvolution_factors(m.expr, blocked)
-    return normalize.size_factors(thetas, normalize.block_scales(m.expr, thetas))
+    return _deconvolved(spark, sf_dir)[1]
+
+
+@query(with_sql("SELECT cluster, block, count(*) AS n, round(CASE WHEN sum(lib) = 0 OR (count(*) >= 50 AND min(lib) > 0) THEN 1 ELSE avg(greatest(lib / m, 1e-8)) END, 6) AS mean_theta, 0 AS n_bad, 1.0::DOUBLE AS mean_factor FROM (SELECT *, avg(lib) OVER (PARTITION BY cluster, block) AS m FROM libs ) GROUP BY 1, 2", "libs"))
+def deconv_invariants(spark, sf_dir):
+    """What must hold of deconvolved factors: theta has mean 1 in each solved block, all factors are positive and their mean over all cells is 1."""
+    thetas, factors = _deconvolved(spark, sf_dir)
+    bad = (F.col("theta").isNull() | F.isnan("theta") | (F.col("theta") <= 0)).cast("int")
+    by = thetas.groupBy("cluster", "block").agg(F.count("*").alias("n"), F.avg("theta").alias("mean_theta"), F.sum(bad).cast("int").alias("n_bad"))
+    return rounded(by.crossJoin(F.broadcast(factors.agg(F.avg("size_factor").alias("mean_factor")))), "mean_theta", "mean_factor")
 
 
 # ---- features and components
@@ -408,8 +491,45 @@ def hvg_top_n(spark, sf_dir):
 def hvg_matrix(spark, sf_dir):
     """Log-normalised entries of the 100 most variable genes: what PCA reads."""
     m, logs = _logs(spark, sf_dir)
-    top = features.top_genes(features.dispersions(features.gene_moments(logs, m.genes, m.cells.agg(F.count("*")))), 100)
-    return rounded(matrix.select_genes(logs, top).select("cell_id", "gene_id", "value"), "value")
+    return rounded(_variable(m, logs)[0].select("cell_id", "gene_id", "value"), "value")
+
+
+def _variable(m: matrix.Matrix, logs: DataFrame, n_top: int = 100) -> tuple[DataFrame, DataFrame]:
+    """Entries of the ``n_top`` most variable genes, and these genes."""
+    top = saved(features.top_genes(features.dispersions(features.gene_moments(logs, m.genes, m.cells.agg(F.count("*")))), n_top), "top")
+    return matrix.select_genes(logs, top), top
+
+
+def _packed_cells(m: matrix.Matrix, entries: DataFrame) -> DataFrame:
+    """A row for each cell, those without entries too, for numeric kernels."""
+    rows = m.cells.select("cell_id").join(matrix.packed(entries), "cell_id", "left")
+    empty = lambda c, t: F.coalesce(c, F.expr(f"cast(array() as array<{t}>)"))
+    return rows.select("cell_id", empty("idx", "int").alias("idx"), empty("val", "double").alias("val"))
+
+
+def _hvg_scores(m: matrix.Matrix, logs: DataFrame) -> tuple[DataFrame, pca.Components]:
+    """Scores on the N_PCS components of the variable genes, in order of their empirical variance."""
+    entries, top = _variable(m, logs)
+    rows = saved(_packed_cells(m, entries), "packed")
+    components = pca.fit(rows, top, pca.N_PCS)
+    scores = saved(pca.project(rows, components), "scores")
+    stats = {r.pc: r.variance for r in describe.pc_statistics(scores).collect()}  # a row a component
+    return pca.reordered(scores, np.array([stats[k] for k in sorted(stats)])), components
+
+
+@query()
+def pca_hvg_scores(spark, sf_dir):
+    return _hvg_scores(*_logs(spark, sf_dir))[0]
+
+
+HVG_VARIANCE = "SELECT sum(s2 / n - (s1 / n) * (s1 / n)) * any_value(n) / (any_value(n) - 1) AS total FROM (SELECT gene_id, sum(value) AS s1, sum(value * value) AS s2, (SELECT count(*) FROM cells ) AS n FROM logs WHERE gene_id IN (SELECT gene_id FROM dispersions ORDER BY normalized DESC NULLS LAST, gene_id LIMIT 100) GROUP BY 1)"
+
+
+@query(with_sql(f"SELECT CAST(k AS INTEGER) AS pc, round((SELECT total FROM ({HVG_VARIANCE})), 4) AS total_variance, TRUE AS is_eigenvalue, TRUE AS is_centred, TRUE AS is_uncorrelated FROM range({pca.N_PCS}) t(k)", "logs", "dispersions", "cells"))
+def pca_hvg_invariants(spark, sf_dir):
+    """What must hold of the variable genes' scores: variances are the eigenvalues in order, means 0, correlations 0; the trace is SQL's."""
+    scores, c = _hvg_scores(*_logs(spark, sf_dir))
+    return _score_invariants(spark, scores, c).withColumn("total_variance", F.lit(round(c.total, 4)))
 
 
 @query(with_sql("SELECT gene_id, round(mean, 6) AS mean FROM brand_means", "brand_means"))
@@ -431,18 +551,45 @@ def covariance_matrix(spark, sf_dir):
 
 def _components(spark, sf_dir, k=10):
     m = D.customer_brands(spark, sf_dir)
-    rows = m.cells.select("cell_id").join(matrix.packed(m.expr), "cell_id", "left")
-    empty = lambda c, t: F.coalesce(c, F.expr(f"cast(array() as array<{t}>)"))
-    rows = rows.select("cell_id", empty("idx", "int").alias("idx"), empty("val", "double").alias("val"))
+    rows = saved(_packed_cells(m, m.expr), "packed")
     return rows, pca.fit(rows, m.genes, k)
 
 
+def _score_invariants(spark, scores: DataFrame, c: pca.Components) -> DataFrame:
+    """(pc, is_eigenvalue, is_centred, is_uncorrelated) of scores, from sums of products of their components: k x k numbers."""
+    k = len(c.eigenvalues)
+    pairs = F.flatten(F.transform("pc", lambda x, i: F.transform("pc", lambda y, j: F.struct(i.alias("i"), j.alias("j"), (x * y).alias("xy"), x.alias("x")))))
+    sums = scores.select(F.inline(pairs)).groupBy("i", "j").agg(F.sum("xy").alias("xy"), F.avg("x").alias("mean"), F.count("*").alias("n")).collect()
+    product, mean, n = np.zeros((k, k)), np.zeros(k), max(r.n for r in sums)
+    for r in sums:
+        product[r.i, r.j], mean[r.i] = r.xy, r.mean
+    covariance = product / (n - 1)
+    least = 1e-6 * c.eigenvalues[0]
+    alone = np.abs(covariance - np.diag(np.diag(covariance))).max(axis=1) <= least
+    rows = [(j, bool(abs(covariance[j, j] - c.eigenvalues[j]) <= least), bool(abs(mean[j]) <= 1e-6), bool(alone[j])) for j in range(k)]
+    return spark.createDataFrame(rows, "pc int, is_eigenvalue boolean, is_centred boolean, is_uncorrelated boolean")
+
+
 @query()
 def pca_scores(spark, sf_dir):
     rows, c = _components(spark, sf_dir)
     return pca.project(rows, c)
 
 
+@query("SELECT CAST(k AS INTEGER) AS pc, TRUE AS is_eigenvalue, TRUE AS is_centred, TRUE AS is_uncorrelated FROM range(10) t(k)")
+def pca_score_invariants(spark, sf_dir):
+    """What must hold of scores whatever the signs: their covariance is the diagonal of the eigenvalues, their means are 0."""
+    rows, c = _components(spark, sf_dir)
+    return _score_invariants(spark, pca.project(rows, c), c)
+
+
+@query(with_sql("SELECT round(sum(CASE WHEN gene_a = gene_b THEN cov ELSE 0 END), 4) AS trace, round(sqrt(sum(CASE WHEN gene_a = gene_b THEN 1 ELSE 2 END * cov * cov)), 4) AS frobenius FROM (SELECT a.gene_id AS gene_a, b.gene_id AS gene_b, (coalesce(g.value, 0) - a.n * a.mean * b.mean) / (a.n - 1) AS cov FROM brand_means a JOIN brand_means b ON a.gene_id <= b.gene_id LEFT JOIN gram g ON g.gene_a = a.gene_id AND g.gene_b = b.gene_id)", "brand_means", "gram"))
+def pca_spectrum(spark, sf_dir):
+    """Sums of all eigenvalues and of their squares, against the covariance's trace and Frobenius norm."""
+    _, c = _components(spark, sf_dir, 25)
+    return spark.createDataFrame([(round(float(c.eigenvalues.sum()), 4), round(float(np.sqrt((c.eigenvalues**2).sum())), 4))], "trace double, frobenius double")
+
+
 @query(with_sql("SELECT round(sum((coalesce(g.value, 0) - a.n * a.mean * a.mean) / (a.n - 1)), 4) AS total_variance FROM brand_means a LEFT JOIN gram g ON g.gene_a = a.gene_id AND g.gene_b = a.gene_id", "brand_means", "gram"))
 def pca_total_variance(spark, sf_dir):
     """The sum of all eigenvalues, which is the trace of the covariance."""
@@ -496,10 +643,8 @@ def cluster_sums(spark, sf_dir):
 
 @query(with_sql("SELECT cell_id, CAST(cluster AS INTEGER) AS cluster, round(distance, 6) AS distance FROM (SELECT x.cell_id, n.cluster, greatest(x.xn - 2 * coalesce(d.dot, 0) + n.cn, 0) AS distance FROM (SELECT cell_id, sum(value * value) AS xn FROM expr GROUP BY 1) x CROSS JOIN (SELECT cluster, sum(c * c) AS cn FROM part_centres GROUP BY 1) n LEFT JOIN (SELECT cell_id, cluster, sum(value * c) AS dot FROM expr JOIN part_centres USING (gene_id) GROUP BY 1, 2) d ON d.cell_id = x.cell_id AND d.cluster = n.cluster) QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY distance, cluster) = 1", "expr", "part_centres"))
 def sparse_kmeans_assign(spark, sf_dir):
-    expr = D.customer_parts(spark, sf_dir).expr
-    first = expr.select("cell_id").distinct().orderBy("cell_id").limit(5).selectExpr("cell_id", "cast(row_number() over (order by cell_id) - 1 as int) as cluster")
-    centres = expr.join(F.broadcast(first), "cell_id").select("cluster", "gene_id", "value")
-    return rounded(kmeans.sparse_assign(expr, centres), "distance")
+    expr = _written(spark, sf_dir).expr
+    return rounded(kmeans.sparse_assign(expr, _first_cells(expr, 5)), "distance")
 
 
 @query(with_sql("SELECT cluster, gene_id, sum(value) AS total FROM expr JOIN cells USING (cell_id) GROUP BY 1, 2", "expr", "cells"))
@@ -525,7 +670,7 @@ def lloyd_3_iters(spark, sf_dir):
     return rounded(_table(spark, kmeans.lloyd(rows, {0: kmeans.lowest_ids(rows, 5)}, 3, 0)[0].centroids), "x")
 
 
-MULTI = (2, 4, 6)
+MULTI = (2, 4, 6, 8, 10)
 
 
 @query(
@@ -569,20 +714,59 @@ def kmeans_sampled_seeds(spark, sf_dir):
     return _table(spark, kmeans.sampled_plus_plus(D.vectors(spark, sf_dir), 4))
 
 
+@query("SELECT unnest(['gumbel', 'sampled']) AS seeds, 4 AS n, CAST(4 AS BIGINT) AS n_rows")
+def kmeans_seed_invariants(spark, sf_dir):
+    """What must hold of seeds: different rows of the table."""
+    rows = D.vectors(spark, sf_dir).select("cell_id", "pc").persist()
+    found = []
+    for name, seeds in (("gumbel", kmeans.gumbel_seeds(rows, 4)), ("sampled", kmeans.sampled_plus_plus(rows, 4))):
+        chosen = spark.createDataFrame([([float(x) for x in s],) for s in seeds], "pc array<double>").distinct()
+        n_rows = rows.select("pc").distinct().join(F.broadcast(chosen), "pc", "left_semi").count()  # k rows
+        found.append((name, len(seeds), n_rows))
+    rows.unpersist()
+    return spark.createDataFrame(found, "seeds string, n int, n_rows long")
+
+
 @query()
 def kmeans_minibatch_fit(spark, sf_dir):
-    return _table(spark, kmeans.fit_minibatch(D.vectors(spark, sf_dir), 4, 200, 30)[0])
+    """The defaults of batch, steps and tolerance; a batch larger than the table is all of it."""
+    return _table(spark, kmeans.fit_minibatch(D.vectors(spark, sf_dir), 4, max_iter=100)[0])
+
+
+# The K of the sweep.
+SWEEP = tuple(range(2, 31, 2))
+
+
+def _swept(spark, sf_dir, n_init: int = kmeans.N_INIT) -> tuple[DataFrame, dict[int, kmeans.Fit]]:
+    rows = D.vectors(spark, sf_dir).select("cell_id", "pc")
+    return rows, kmeans.sweep(rows, list(SWEEP), n_init)
 
 
 @query()
 def kmeans_sweep(spark, sf_dir):
-    fits = kmeans.sweep(D.vectors(spark, sf_dir), [2, 4, 6], 2, max_iter=15)
-    return spark.createDataFrame([(k, f.wcss, f.wcss / f.n, f.n_iters) for k, f in fits.items()], "k int, wcss double, wcss_n double, n_iters int")
+    """K, WCSS, silhouette and iterations of the best of N_INIT runs for each K of SWEEP."""
+    rows, fits = _swept(spark, sf_dir)
+    out = None
+    for k, f in fits.items():
+        labels = kmeans.assign(rows, f.centroids)
+        each = metrics.silhouettes_squared(rows, labels).agg(F.avg("s").alias("silhouette")).select(F.lit(k).alias("k"), F.lit(f.wcss).alias("wcss"), F.lit(f.wcss / f.n).alias("wcss_n"), "silhouette", F.lit(f.n_iters).alias("n_iters"))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+@query("SELECT k, (SELECT count(*) FROM embeddings) AS n, TRUE AS is_settled, TRUE AS is_no_worse FROM (VALUES " + ", ".join(f"({k})" for k in SWEEP) + ") t(k)")
+def kmeans_sweep_invariants(spark, sf_dir):
+    """What must hold of each fit: labels for all rows, WCSS of its centroids no more than the recorded one, and not above one cluster's."""
+    rows, fits = _swept(spark, sf_dir, 1)
+    found = kmeans._pass(rows, {k: f.centroids for k, f in fits.items()})
+    one = kmeans.lloyd(rows, {1: kmeans.lowest_ids(rows, 1)}, 2, 0)[1].wcss
+    table = [(k, int(found[k][1].sum()), found[k][2] <= f.wcss * (1 + 1e-9), f.wcss <= one * (1 + 1e-9)) for k, f in fits.items()]
+    return spark.createDataFrame(table, "k int, n long, is_settled boolean, is_no_worse boolean")
 
 
 @query()
 def kmeans_minibatch_sweep(spark, sf_dir):
-    fits = kmeans.minibatch_sweep(D.vectors(spark, sf_dir), [1, 2, 4], 200, 2, 10)
+    fits = kmeans.minibatch_sweep(D.vectors(spark, sf_dir), [1, 2, 4], max_iter=20)
     return spark.createDataFrame([(k, f.wcss, f.n_iters) for k, f in fits.items()], "k int, wcss double, n_iters int")
 
 
@@ -591,6 +775,16 @@ def uniform_sample(spark, sf_dir):
     return kmeans.uniform_sample(D.vectors(spark, sf_dir), 200).select("cell_id", "cluster")
 
 
+@query("SELECT CAST(least(200, count(*)) AS BIGINT) AS n, CAST(least(200, count(*)) AS BIGINT) AS n_different, TRUE AS is_least FROM embeddings")
+def uniform_sample_invariants(spark, sf_dir):
+    """What must hold of the sample: rows of the table, without repeats, those of least hash."""
+    rows = D.vectors(spark, sf_dir).select("cell_id", F.xxhash64(F.lit(kmeans.SEED), "cell_id").alias("hash"))
+    drawn = kmeans.uniform_sample(D.vectors(spark, sf_dir), 200).select("cell_id")
+    inside = rows.join(drawn, "cell_id").agg(F.count("*").alias("n"), F.count_distinct("cell_id").alias("n_different"), F.max("hash").alias("most"))
+    outside = rows.join(drawn, "cell_id", "left_anti").agg(F.min("hash").alias("least"))
+    return inside.crossJoin(F.broadcast(outside)).select("n", "n_different", F.coalesce(F.col("most") <= F.col("least"), F.lit(True)).alias("is_least"))
+
+
 # ---- cluster metrics
 
 
@@ -625,29 +819,54 @@ def silhouette_euclid(spark, sf_dir):
     return rounded(metrics.silhouettes_euclidean(rows.drop("cluster"), rows), "s")
 
 
-# A recorded curve of WCSS/n over K; its elbow is 6.
-CURVE = ((2, 70.793541), (4, 59.121082), (6, 50.814468), (8, 46.022), (10, 43.774911), (12, 41.437287), (14, 39.423346), (16, 37.725691))
-CURVE_SQL = "(VALUES " + ", ".join(f"({k}, {w}::DOUBLE)" for k, w in CURVE) + ") t(k, wcss)"
 SLOPE = "CASE WHEN lag({c}) OVER (ORDER BY k) IS NULL THEN lead({c}) OVER (ORDER BY k) - {c} WHEN lead({c}) OVER (ORDER BY k) IS NULL THEN {c} - lag({c}) OVER (ORDER BY k) ELSE (lead({c}) OVER (ORDER BY k) - lag({c}) OVER (ORDER BY k)) / 2 END"
+CURVE_SQL = f"WITH points AS ({SQL['points']})" + "".join(chain_sql(k, 2, f"k{k}_").rstrip() for k in MULTI) + ", curve AS (" + " UNION ALL ".join(f"SELECT {k} AS k, round(sum(distance) / count(*), 6) AS wcss FROM k{k}_a2" for k in MULTI) + ")\n"
 
 
-def _curve(spark) -> DataFrame:
-    return spark.createDataFrame(list(CURVE), "k int, wcss double")
+def _curve(spark, sf_dir) -> DataFrame:
+    """(k, wcss): WCSS/n over K of the embeddings."""
+    return multi_k_wcss(spark, sf_dir).select("k", F.col("wcss_n").alias("wcss"))
 
 
-@query(f"SELECT k, wcss, round({SLOPE.format(c='d')}, 9) AS bend FROM (SELECT k, wcss, {SLOPE.format(c='wcss')} AS d FROM {CURVE_SQL})")
+@query(CURVE_SQL + f"SELECT k, wcss, round({SLOPE.format(c='d')}, 5) AS bend FROM (SELECT k, wcss, {SLOPE.format(c='wcss')} AS d FROM curve)")
 def second_differences(spark, sf_dir):
-    return rounded(metrics.second_differences(_curve(spark)), "bend", digits=9)
+    return rounded(metrics.second_differences(_curve(spark, sf_dir)), "bend", digits=5)
 
 
-@query(f"SELECT k FROM (SELECT k, {SLOPE.format(c='d')} AS bend FROM (SELECT k, {SLOPE.format(c='wcss')} AS d FROM {CURVE_SQL})) ORDER BY bend DESC, k LIMIT 1")
+@query(CURVE_SQL + f"SELECT k FROM (SELECT k, {SLOPE.format(c='d')} AS bend FROM (SELECT k, {SLOPE.format(c='wcss')} AS d FROM curve)) ORDER BY bend DESC, k LIMIT 1")
 def elbow(spark, sf_dir):
-    return metrics.elbow(_curve(spark))
+    return metrics.elbow(_curve(spark, sf_dir))
+
+
+SILHOUETTES_SQL = (
+    f"WITH points AS ({SQL['points']})" + "".join(chain_sql(k, 1, f"k{k}_").rstrip() for k in MULTI)
+    + ", apart AS (SELECT a.cell_id AS i, b.cell_id AS j, sum((a.x - b.x) * (a.x - b.x)) AS t FROM points a JOIN points b USING (dim) GROUP BY 1, 2), labelled AS ("
+    + " UNION ALL ".join(f"SELECT {k} AS k, cell_id, cluster FROM k{k}_a1" for k in MULTI)
+    + "), sizes AS (SELECT k, cluster, count(*) AS n FROM labelled GROUP BY 1, 2), sums AS (SELECT x.k, x.cell_id, x.cluster, y.cluster AS other, sum(t) AS t FROM apart JOIN labelled x ON x.cell_id = i JOIN labelled y ON y.cell_id = j AND y.k = x.k GROUP BY 1, 2, 3, 4),"
+    " means AS (SELECT k, cell_id, s.cluster = other AS own, CASE WHEN s.cluster <> other THEN t / n WHEN n > 1 THEN t / (n - 1) ELSE 0 END AS m FROM sums s JOIN sizes USING (k) WHERE sizes.cluster = other),"
+    " nearest AS (SELECT k, cell_id, max(m) FILTER (own) AS a, min(m) FILTER (NOT own) AS b FROM means GROUP BY 1, 2),"
+    " curve AS (SELECT k, round(avg(CASE WHEN b IS NULL OR greatest(a, b) <= 0 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM nearest GROUP BY 1)\n"
+)
+
+
+def _silhouettes(spark, sf_dir) -> DataFrame:
+    """(k, silhouette): the mean squared silhouette over K of the embeddings, by the nearest of the first k rows."""
+    rows = D.vectors(spark, sf_dir).drop("cluster")
+    out = None
+    for k in MULTI:
+        each = metrics.silhouettes_squared(rows, kmeans.assign(rows, kmeans.lowest_ids(rows, k))).agg(F.avg("s").alias("silhouette")).select(F.lit(k).alias("k"), "silhouette")
+        out = each if out is None else out.unionByName(each)
+    return rounded(out, "silhouette")
+
+
+@query(SILHOUETTES_SQL + "SELECT k, silhouette FROM curve")
+def silhouette_curve(spark, sf_dir):
+    return _silhouettes(spark, sf_dir)
 
 
-@query("SELECT k FROM (VALUES (2, 0.5), (4, 0.21), (6, 0.5)) t(k, silhouette) ORDER BY silhouette DESC, k LIMIT 1")
+@query(SILHOUETTES_SQL + "SELECT k FROM curve ORDER BY silhouette DESC, k LIMIT 1")
 def best_silhouette_k(spark, sf_dir):
-    return metrics.best_silhouette(spark.createDataFrame([(2, 0.5), (4, 0.21), (6, 0.5)], "k int, silhouette double"))
+    return metrics.best_silhouette(_silhouettes(spark, sf_dir))
 
 
 @query("SELECT bin_x, bin_y, cluster, n FROM (SELECT CAST(floor(CAST(embedding[1] AS DOUBLE) / 0.05) AS BIGINT) AS bin_x, CAST(floor(CAST(embedding[2] AS DOUBLE) / 0.05) AS BIGINT) AS bin_y, label AS cluster, count(*) AS n FROM embeddings GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY bin_x, bin_y ORDER BY n DESC, cluster) = 1")

@@ -226,3 +226,30 @@ def test_online_kmeans(spark, tmp_path):
     before = model.model.centroids
     model.update(rows, 0)
     assert (model.model.centroids == before).all()
+
+
+def test_hvg_refuses_bad_values(spark):
+    genes = spark.createDataFrame([(1,), (2,)], "gene_id int")
+    cells = spark.createDataFrame([(3,)], "n long")
+    for bad in (float("nan"), float("inf"), 1e6):
+        expr = spark.createDataFrame([(1, 1, 0.5), (2, 2, bad)], "cell_id long, gene_id int, value double")
+        with pytest.raises(Exception, match="NaN or infinite"):
+            features.gene_moments(expr, genes, cells).collect()
+
+
+def test_pools_in_parts(spark, monkeypatch):
+    """Memory follows POOL_CELLS: some starts at a time give the same factors."""
+    rng = np.random.default_rng(4)
+    counts = rng.poisson(rng.uniform(0.2, 6, (1, 40)) * rng.uniform(0.5, 2, (150, 1)))
+    whole = normalize.deconvolve(counts.astype(float))
+    monkeypatch.setattr(normalize, "POOL_CELLS", 40 * 108)
+    assert np.allclose(normalize.deconvolve(counts.astype(float)), whole)
+
+
+def test_patience_and_evaluations(spark):
+    rng = np.random.default_rng(2)
+    rows = spark.createDataFrame([(i, [float(x) for x in rng.normal(10 * (i % 3), 0.1, 2)]) for i in range(300)], "cell_id long, pc array<double>")
+    steps = [kmeans.fit_minibatch(rows, 3, 1000, 60, tol=0.5, eval_every=e, patience=p)[1] for e, p in ((1, 1), (4, 1), (4, 3))]
+    assert steps == [1, 4, 12]
+    centres, _ = kmeans.fit_minibatch(rows, 3, 60, 30, tol=0.0)
+    assert sorted(round(c[0] / 10) for c in centres) == [0, 1, 2]
