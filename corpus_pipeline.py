@@ -14,7 +14,7 @@ from gridloom.llm import decontaminate as contamination
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.mixing import mix
-from gridloom.llm.scratch import saved
+from gridloom.llm.scratch import mark, saved, settled
 from gridloom.llm.sharding import shard
 
 #: Documents whose language scores less are rejected, as are those without one.
@@ -75,6 +75,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = mark()
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name, before)  # the tables of the stage before go
     return docs

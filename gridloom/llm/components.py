@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.scratch import join_counted, mark, saved, settled
+from gridloom.llm.scratch import mark, saved, settled
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def _round(now: DataFrame) -> DataFrame:
-    """One large star and one small star; the least neighbours are written before they are joined, so that a node of many edges can be split."""
+    """One large star and one small star.
+
+    The least neighbours are written before they are joined: then the edges of a node that has
+    very many, which all hang on the least node of a large component, can be split by adaptive execution.
+    """
     both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
-    large = join_counted(both, least, ["u"], "n").filter("v > u and m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-    large = saved(large, "large")
-    # small star: each node with its neighbours below it
-    least = saved(large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"), F.count("*").alias("n")), "least")
-    small = join_counted(large.withColumnRenamed("b", "u"), least, ["u"], "n")
+    least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    large = both.filter("v > u").join(least, "u").filter("m <> v").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
+    # small star: each node with its neighbours below it, of which few are left
+    least = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("m"))
+    small = large.withColumnRenamed("b", "u").join(least, "u")
     return small.select(F.col("m"), F.explode(F.array("a", "u")).alias("b")).filter("m <> b").select(F.col("m").alias("a"), "b").distinct()

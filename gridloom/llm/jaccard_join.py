@@ -319,12 +319,12 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
         more = verified(met)
         links, pairs = links.unionByName(more), pairs.unionByName(met)
         if more.limit(1).count():
-            labels = saved(connected_components(links), "labels")
+            labels = _merged(labels, more)
         across = saved(_across(postings, labels, percent, None)[0].join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = verified(across)
     if more.limit(1).count():
         links = links.unionByName(more)
-        labels = saved(connected_components(links), "labels")
+        labels = _merged(labels, more)
     labels = classes.join(labels, classes.k == labels.node, "left").select("k", "rep", "rows", F.coalesce("label", "k").alias("label"))
     least = labels.groupBy("label").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("members")).filter("members > 1")
     found = saved(labels.join(least, "label").select("k", "component_id"), "found")
@@ -332,6 +332,17 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     return out, links
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, label) after more ``links``: components of components, so that only these are gone through again."""
+    label = lambda side: labels.select(F.col("node").alias(side), F.col("label").alias(f"label_{side}"))
+    ends = links.select("a", "b").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    ends = saved(ends.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")), "ends")
+    over = saved(connected_components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))), "over").toDF("old", "new")
+    fresh = ends.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("label")), F.struct(F.col("b").alias("node"), F.col("y").alias("label")))))
+    every = labels.unionByName(fresh).distinct()
+    return saved(every.join(over, every.label == over.old, "left").select("node", F.coalesce("new", "label").alias("label")), "labels")
+
+
 def _listed(postings: DataFrame) -> DataFrame:
     """Postings of signatures that several nodes have, each with its list's hub.
 

@@ -1,82 +1,16 @@
-"""Intermediate tables in the folder that all executors share, and joins of bounded broadcasts."""
+"""The shared folder's tables, and joins with bounded broadcasts."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key of more rows than this, and than a HOT_KEYS-th of all, is hot: so at most HOT_KEYS keys are.
-HOT_ROWS, HOT_KEYS = 1000, 100_000
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of our own only where that is unset and the master is local."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, removed when Python ends."""
-    path = f"{scratch_root(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clear)
-    _made.append((spark, path))
-    return path
-
-
-def _clear() -> None:
-    for spark, path in _made:
-        try:
-            remove(spark, path)
-        except Exception:  # the session may have ended; the other folders may be another one's
-            continue
+from gridloom.sources.scratch import filesystem, mark, remove, saved, scratch_path, scratch_root, settled
 
+__all__ = ["filesystem", "join_counted", "mark", "near_members", "remove", "saved", "scratch_path", "scratch_root", "settled"]
 
-def filesystem(spark: SparkSession, path: str):
-    """Hadoop's FileSystem and Path for ``path``."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = filesystem(spark, path)
-    fs.delete(p, True)
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: a cut in the lineage that outlives executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def settled(make: Callable[[], DataFrame], name: str, dropped: int | None = None) -> DataFrame:
-    """What ``make`` returns, ``saved``; then the tables go that were written since it began, or since ``mark`` gave ``dropped``."""
-    first = len(_made) if dropped is None else dropped
-    out = saved(make(), name)
-    for spark, path in _made[first:-1]:
-        remove(spark, path)
-    del _made[first:-1]
-    return out
-
-
-def mark() -> int:
-    """How many tables have been written so far."""
-    return len(_made)
+#: A key of more rows than this, and than a HOT_KEYS-th of all, is hot: so at most HOT_KEYS keys are.
+HOT_ROWS, HOT_KEYS = 1000, 100_000
 
 
 def join_counted(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
