@@ -34,6 +34,8 @@ FLOOR = -8.0
 #: Training takes this many documents of each language at most, those of least hash.
 TRAIN_DOCS = 3000
 SPARE = 4
+#: Rows of a range of hashes in which training rows are ranked, about.
+RANGE = 64
 
 # First code points of Unicode's main script ranges, and a bit for the script that begins there (0: no letters of one script).
 SCRIPT_STARTS = np.array([0x0, 0x41, 0x5B, 0x61, 0x7B, 0xAA, 0xAB, 0xB5, 0xB6, 0xBA, 0xBB, 0xC0, 0xD7, 0xD8, 0xF7, 0xF8, 0x250, 0x370, 0x400, 0x530, 0x590, 0x600, 0x700, 0x900, 0x980, 0xA00, 0xB80, 0xC00, 0xE00, 0xE80, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x30A0, 0x3100, 0x3400, 0xA000, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0xFB50, 0xFE00, 0x10000, 0x20000, 0x30000])
@@ -102,8 +104,12 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     ids = rows.select("doc_id", "lang").withColumn("hash", F.xxhash64("doc_id"))
     counts = ids.groupBy("lang").agg(F.count("*").alias("n"))  # a row a language
     near = ids.join(F.broadcast(counts), "lang").filter(F.col("hash") < F.least(F.lit(SPARE * train_docs) / F.col("n"), F.lit(1.0)) * 2.0**64 - 2.0**63)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
-    sample = near.withColumn("rank", rank).filter(F.col("rank") <= train_docs).select("doc_id", "lang").distinct().cache()
+    # ranks in two levels: of ranges of hashes that hold about RANGE rows each, and of rows within a range
+    near = near.withColumn("range", F.floor((F.col("hash") + F.lit(2.0**63)) / 2.0**64 * F.col("n") / RANGE))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("lang").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = near.groupBy("lang", "range").agg(F.count("*").alias("rows")).select("lang", "range", before.alias("before"))  # SPARE * train_docs / RANGE rows a language
+    rank = F.row_number().over(Window.partitionBy("lang", "range").orderBy("hash", "doc_id"))
+    sample = near.withColumn("rank", rank).join(F.broadcast(ranges), ["lang", "range"]).filter(F.col("rank") + F.col("before") <= train_docs).select("doc_id", "lang").distinct().cache()
     languages = [r.lang for r in sample.select("lang").distinct().orderBy("lang").collect()]
     code = F.array_position(F.array(*[F.lit(x) for x in languages] or [F.lit("")]), F.col("lang")).cast("int") - 1
     taken = near_members(rows, "doc_id", sample.select("doc_id"), train_docs * max(1, len(languages))).join(sample, ["doc_id", "lang"])
