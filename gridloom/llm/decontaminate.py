@@ -10,10 +10,11 @@ window around them are put aside before that, all at once.  Hits are counted by
 of text and item before they are listed: where repeated words give more than a few for
 each way to lay the item on the text, each way is looked at once instead.
 
-The benchmark side is held in memory by each worker: its size is counted first,
-and a benchmark of more than ``max_words`` words is dealt into several parts, each
-below that bound, which are matched one after the other.  The training side is
-only mapped over: no row of it is moved, so no document, item or passage is hot.
+A benchmark of up to ``max_words`` words, which is counted first, is held in memory by each
+worker; the training side is then only mapped over: no row of it is moved, so no document,
+item or passage is hot.  A larger one is joined as a table: a bitmap of its seeds, of bounded size, lets the
+texts that may have one pass; their seeds that pass are joined with the benchmark's, and the
+pairs of text and item that meet are verified, each once.  The corpus is read twice, whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm import kernels as K
+from gridloom.llm.scratch import near_members, saved
 
 # The masks, 1 where a word counts.  The words that agree in a stretch of 12 words or more, 80 percent
 # of them or more, lie in runs between the others; one run has four words, but for a stretch of 15 in four runs of three.
@@ -38,6 +41,8 @@ SHORTEST = 5
 STRETCH = 13
 AGREE = 80
 MAX_WORDS = 500_000
+#: log2 of the most bits of a larger benchmark's bitmap (32 MB), and the column that holds a text's key meanwhile.
+MAX_BITS, KEY = 28, "__text_key"
 #: So many hits, groups of hits, and words of an item laid on a text in some ways, are looked at together.
 HITS, GROUPS, CELLS = 1 << 11, 1 << 18, 1 << 20
 #: A text and an item with so many hits for each way to lay one on the other are compared in all ways, without listing the hits.
@@ -276,16 +281,117 @@ def _keep(shared, stretch: int, agree: int):
     return run
 
 
-def _parts(benchmark: DataFrame, max_words: int) -> Iterator[Items]:
-    """The benchmark's different items, in parts of about ``max_words`` words; one item is never divided."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-size // (2 * max_words)))  # a word and its separator have two bytes at least
-    for p in range(parts):
-        part = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else rows
-        got = part.orderBy("item_id", "text").toArrow().combine_chunks()
-        ids, texts = (got.column(c).chunk(0) if got.num_rows else pa.array([], t) for c, t in (("item_id", pa.int64()), ("text", pa.string())))
-        yield _index(ids, texts)
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
+
+
+def _held(items: DataFrame, max_words: int) -> Items | None:
+    """The benchmark's different items, if they have ``max_words`` words or fewer."""
+    if (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) > 2 * max_words:  # a word and its separator have two bytes at least
+        return None
+    got = items.orderBy("item_id", "text").toArrow().combine_chunks()
+    ids, texts = (got.column(c).chunk(0) if got.num_rows else pa.array([], t) for c, t in (("item_id", pa.int64()), ("text", pa.string())))
+    return _index(ids, texts)
+
+
+def _seeds_of(h: np.ndarray, row: np.ndarray, least: int, short: tuple[int, ...], whole: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of some texts and the words at which they begin: by the masks in texts of ``least`` words or more, and of ``short`` lengths (``whole``: of texts of that length alone)."""
+    n = np.diff(row)
+    seeds, at = [], []
+    for mask in (*MASKS, *("1" * k for k in short)):
+        found = _seeded(h, mask)
+        long = len(mask) >= SHORTEST and set(mask) == {"1"}
+        of = n == len(mask) if long and whole else n >= (len(mask) if long else least)
+        where = np.flatnonzero((K.inside(row, len(mask)) & np.repeat(of, n))[: len(found)])
+        seeds.append(found[where])
+        at.append(where)
+    return np.concatenate(seeds), np.concatenate(at)
+
+
+def _keys(words: K.Words, h: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each text, the same for equal word sequences."""
+    return K.signed(words.whole(h))
+
+
+def _emit_seeds(bitmap, short: tuple[int, ...], item: bool):
+    """(key, seed) of texts, each once in a text; of a corpus those alone that ``bitmap`` lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint8)
+        for batch in batches:
+            for part in K.slices(batch, "text"):
+                words = K.Words(part.column("text"), lower=True)
+                h = words.hashes()
+                seeds, at = _seeds_of(h, words.row, SPAN if item else 1, short, item)
+                if bits is not None:
+                    cell = (seeds >> np.uint64(64 - len(bits).bit_length() - 2)).astype(np.int64)
+                    passed = (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+                    seeds, at = seeds[passed], at[passed]
+                text = np.searchsorted(words.row, at, "right") - 1
+                order = np.lexsort((seeds, text))
+                seeds, text = seeds[order], text[order]
+                fresh = (np.diff(seeds, prepend=seeds[:1] + np.uint64(1)) != 0) | (np.diff(text, prepend=-1) != 0)
+                yield pa.RecordBatch.from_pydict({"key": _keys(words, h)[text[fresh]], "seed": K.signed(seeds[fresh])})
+
+    return run
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in K.slices(batch, "text"):
+            words = K.Words(part.column("text"), lower=True)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(_keys(words, words.hashes()))], [*part.schema.names, KEY])
+
+
+def _verify(stretch: int, agree: int, short: tuple[int, ...]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, item, own, theirs in zip(*(batch.column(c).to_pylist() for c in ("key", "item", "text", "item_text")), strict=True):
+                a, b = (K.Words(pa.array([t], pa.large_string()), lower=True) for t in (own, theirs))
+                ha, hb = a.hashes(), b.hashes()
+                sa, at = _seeds_of(ha, a.row, 1, short, False)
+                sb, place = _seeds_of(hb, b.row, SPAN, short, True)
+                order = np.argsort(sb, kind="stable")
+                first, last = np.searchsorted(sb[order], sa, "left"), np.searchsorted(sb[order], sa, "right")
+                if (last - first).sum() > HEAVY * (len(ha) + len(hb)):
+                    shifts = np.arange(1 - len(hb), len(ha))
+                else:
+                    number, which = _ranges(first, last - first)
+                    shifts = np.unique(at[which] - place[order[number]])
+                best = _best(ha, hb, shifts, stretch, agree) if len(shifts) else None
+                if best:
+                    rows.append((key, item, -best[1], -best[2], best[3], best[0]))
+            names = ("key", "item", "doc_start", "item_start", "n_words", "n_same")
+            yield pa.RecordBatch.from_pydict({c: pa.array([r[k] for r in rows], pa.int64()) for k, c in enumerate(names)})
+
+    return run
+
+
+def _joined(docs: DataFrame, items: DataFrame, stretch: int, agree: int) -> tuple[DataFrame, DataFrame]:
+    """(key, item_id, doc_start, ...) of the texts that hold enough of an item, and (doc_id, text, key) of the rows that may."""
+    spark = docs.sparkSession
+    items = saved(items.withColumn("item", F.xxhash64("item_id", "text")), "items")
+    words = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    short = tuple(sorted(r.n for r in items.select(words.alias("n")).filter(f"n >= {SHORTEST} and n < {SPAN}").distinct().collect()))  # SPAN lengths at most
+    seeds = items.select("text").mapInArrow(_emit_seeds(None, short, True), "key long, seed long")
+    keyed_items = items.mapInArrow(_keyed, f"item_id long, text string, item long, {KEY} long").select(F.col(KEY).alias("item_key"), "item", "item_id", "text")
+    seeds = saved(seeds.distinct().withColumnRenamed("key", "item_key"), "seeds")
+    n = seeds.count()
+    bits = min(MAX_BITS, max(16, (16 * max(1, n)).bit_length()))
+    cell = F.shiftrightunsigned("seed", 64 - bits)
+    masks = seeds.select(F.shiftright(cell, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(seed, {64 - bits}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("mask")).toArrow()  # 2**bits / 64 rows
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[masks.column("word").to_numpy()] = masks.column("mask").to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+    hits = saved(docs.select("text").mapInArrow(_emit_seeds(shared, short, False), "key long, seed long").distinct(), "hits")
+    pairs = saved(hits.join(seeds, "seed").select("key", "item_key").distinct().join(keyed_items.select("item_key", "item"), "item_key").select("key", "item"), "pairs")
+    wanted = pairs.select("key").distinct()
+    may = saved(near_members(docs.mapInArrow(_keyed, f"doc_id long, text string, {KEY} long"), KEY, wanted, wanted.count()), "may")
+    texts = saved(may.groupBy(F.col(KEY).alias("key")).agg(F.min("text").alias("text")), "texts")
+    both = pairs.join(texts, "key").join(items.select("item", F.col("text").alias("item_text")), "item").repartition("key", "item")
+    found = both.select("key", "item", "text", "item_text").mapInArrow(_verify(stretch, agree, short), "key long, item long, doc_start long, item_start long, n_words long, n_same long")
+    return saved(found.join(items.select("item", "item_id"), "item").drop("item"), "found"), may
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, agree: int = AGREE, max_words: int = MAX_WORDS) -> DataFrame:
@@ -299,18 +405,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH,
     side gives no rows.  Texts and items of repeated words take time in proportion
     to the ways to lay one on the other times the item's length, and bounded memory.
     """
-    sc = docs.sparkSession.sparkContext
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = [source.mapInArrow(_find(sc.broadcast(items), stretch, agree), _FOUND) for items in _parts(benchmark, max_words)]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    source, items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _items(benchmark)
+    held = _held(items, max_words)
+    if held is not None:
+        return source.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(held), stretch, agree), _FOUND)
+    found, may = _joined(source, items, stretch, agree)
+    return may.select("doc_id", F.col(KEY).alias("key")).join(found, "key").select("doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH, agree: int = AGREE, max_words: int = MAX_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns, that ``contaminated`` doesn't report."""
-    sc = docs.sparkSession.sparkContext
-    for items in _parts(benchmark, max_words):
-        docs = docs.mapInArrow(_keep(sc.broadcast(items), stretch, agree), docs.schema)
-    return docs
+    items = _items(benchmark)
+    held = _held(items, max_words)
+    if held is not None:
+        return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(held), stretch, agree), docs.schema)
+    found, _ = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, stretch, agree)
+    bad = saved(found.select(F.col("key").alias(KEY)).distinct(), "bad")
+    keyed = docs.mapInArrow(_keyed, T.StructType([*docs.schema.fields, T.StructField(KEY, T.LongType())]))
+    # rows that the bitmap of contaminated texts doesn't let pass aren't moved
+    count = bad.count()
+    maybe = near_members(keyed, KEY, bad, count).join(bad, KEY, "left_anti")
+    return near_members(keyed, KEY, bad, count, others=True).unionByName(maybe).select(*docs.columns)

@@ -32,8 +32,8 @@ def _bit(key: Column, bits: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
 
 
-def near_members(df: DataFrame, key: str, ids: DataFrame, count: int, max_bits: int = 24) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be among ``ids`` (all that are, and few others), without moving ``df``.
+def near_members(df: DataFrame, key: str, ids: DataFrame, count: int, max_bits: int = 24, others: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be among ``ids`` (all that are, and few others), without moving ``df``; or all ``others``.
 
     ``ids`` (one column) is folded into a bitmap of 16 bits an id, 2**max_bits at
     most: so at most 2**max_bits / 64 rows are broadcast, whatever the input.
@@ -42,5 +42,6 @@ def near_members(df: DataFrame, key: str, ids: DataFrame, count: int, max_bits:
     bits = min(max_bits, max(12, (16 * max(1, count)).bit_length()))
     bit = _bit(F.col(ids.columns[0]), bits)
     bitmap = ids.select(bit.alias("b")).groupBy(F.shiftright("b", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("__mask"))
-    hit = df.withColumn("__bit", _bit(F.col(key), bits)).join(F.broadcast(bitmap), F.shiftright("__bit", 6) == F.col("__word"))
-    return hit.filter(F.expr("(shiftright(__mask, cast(__bit & 63 as int)) & 1) = 1")).drop("__bit", "__word", "__mask")
+    hit = df.withColumn("__bit", _bit(F.col(key), bits)).join(F.broadcast(bitmap), F.shiftright("__bit", 6) == F.col("__word"), "left" if others else "inner")
+    passed = F.expr("coalesce((shiftright(__mask, cast(__bit & 63 as int)) & 1) = 1, false)")
+    return hit.filter(~passed if others else passed).drop("__bit", "__word", "__mask")
