@@ -88,6 +88,23 @@ def majority_bins(points: DataFrame, size: float) -> DataFrame:
     return best.select("bin_x", "bin_y", (-F.col("m.minus")).alias("cluster"), "m.n")
 
 
+def majority_hexagons(points: DataFrame, width: float) -> DataFrame:
+    """(bin_x, bin_y, cluster, n): the commonest cluster of each hexagon of (x, y, cluster) points; ties go to the lowest.
+
+    Hexagons of ``width`` from side to side tile the plane: their centres are a lattice of width x sqrt(3) width
+    cells (whole bin numbers) and its copy moved by half a cell (halves); a point belongs to the nearer of both
+    lattices' nearest centres, to the moved one on a tie.
+    """
+    u, v = F.col("x") / width, F.col("y") / (width * 3**0.5)
+    near = [F.floor(u + 0.5), F.floor(v + 0.5), F.floor(u) + 0.5, F.floor(v) + 0.5]
+    distance = lambda a, b: (u - a) * (u - a) + 3 * (v - b) * (v - b)
+    whole = distance(*near[:2]) < distance(*near[2:])
+    pick = lambda a, b: F.when(whole, a.cast("double")).otherwise(b)
+    bins = points.groupBy(pick(near[0], near[2]).alias("bin_x"), pick(near[1], near[3]).alias("bin_y"), "cluster").agg(F.count("*").alias("n"))
+    best = bins.groupBy("bin_x", "bin_y").agg(F.max(F.struct("n", (-F.col("cluster")).alias("minus"))).alias("m"))
+    return best.select("bin_x", "bin_y", (-F.col("m.minus")).alias("cluster"), "m.n")
+
+
 def moving_average(shifts: DataFrame, share: float) -> DataFrame:
     """One row: the exponentially weighted average of (position, shift) rows, in order; the first one starts it."""
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("position", "shift"))), lambda s: s["shift"])

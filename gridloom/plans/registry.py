@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from gridloom.operators import describe, features, kmeans, metrics, normalize, pca, qc
 from gridloom.plans import domain as D
 from gridloom.sources import arrays, matrix
-from gridloom.sources.scratch import saved, scratch_path
+from gridloom.sources.scratch import filesystem, saved, scratch_path
+from gridloom.streaming.online_kmeans import OnlineKMeans
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,6 +127,13 @@ def qc_filtered_matrix(spark, sf_dir):
     return _filtered(spark, sf_dir).expr.select("cell_id", "gene_id", "value")
 
 
+@query(with_sql("SELECT cell_id, new_id, value FROM filtered JOIN (SELECT gene_id, CAST(row_number() OVER (ORDER BY gene_id) - 1 AS INTEGER) AS new_id FROM kept_genes) USING (gene_id)", "filtered", "kept_genes"))
+def qc_reindexed_matrix(spark, sf_dir):
+    """The filtered entries under the kept genes' dense ids."""
+    out = _filtered(spark, sf_dir)
+    return out.expr.join(qc.dense_ids(out.genes), "gene_id").select("cell_id", "new_id", "value")
+
+
 @query(with_sql("SELECT cell_id, barcode FROM cells WHERE cell_id IN (SELECT cell_id FROM kept_cells)", "cells", "kept_cells"))
 def qc_kept_barcodes(spark, sf_dir):
     return _filtered(spark, sf_dir).cells.select("cell_id", "barcode")
@@ -704,6 +712,21 @@ def minibatch_step(spark, sf_dir):
     return rounded(_table(spark, model.centroids), "x")
 
 
+@query(_points_sql(4, 1, CENTROIDS.format(i=1)))
+def kmeans_streaming(spark, sf_dir):
+    """The embeddings as a stream, a micro-batch for each file: after the only one, centroids are the means of their rows."""
+    rows = D.vectors(spark, sf_dir)
+    source = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    fs, path = filesystem(spark, f"{sf_dir}/embeddings.parquet")
+    reader = spark.readStream.schema(source)
+    # a stream reads folders: the table's own, or that of its one file
+    stream = reader.parquet(f"{sf_dir}/embeddings.parquet") if fs.getFileStatus(path).isDirectory() else reader.option("pathGlobFilter", "embeddings.parquet").parquet(sf_dir)
+    stream = stream.select(F.col("vec_id").alias("cell_id"), F.col("embedding").cast("array<double>").alias("pc"))
+    model = OnlineKMeans(kmeans.lowest_ids(rows, 4))
+    model.start(stream, scratch_path(spark, "stream")).awaitTermination()
+    return rounded(_table(spark, model.model.centroids), "x")
+
+
 @query()
 def kmeans_gumbel_seeds(spark, sf_dir):
     return _table(spark, kmeans.gumbel_seeds(D.vectors(spark, sf_dir), 4))
@@ -875,6 +898,21 @@ def cluster_mode_bins(spark, sf_dir):
     return metrics.majority_bins(points, 0.05)
 
 
+HEX_WIDTH = 0.05
+HEX_SQL = (
+    f"WITH p AS (SELECT CAST(embedding[1] AS DOUBLE) / {HEX_WIDTH} AS u, CAST(embedding[2] AS DOUBLE) / ({HEX_WIDTH} * sqrt(3)) AS v, label AS cluster FROM embeddings),"
+    " near AS (SELECT *, floor(u + 0.5) AS a, floor(v + 0.5) AS b, floor(u) + 0.5 AS c, floor(v) + 0.5 AS d FROM p),"
+    " bins AS (SELECT CASE WHEN (u - a) * (u - a) + 3 * (v - b) * (v - b) < (u - c) * (u - c) + 3 * (v - d) * (v - d) THEN a ELSE c END AS bin_x, CASE WHEN (u - a) * (u - a) + 3 * (v - b) * (v - b) < (u - c) * (u - c) + 3 * (v - d) * (v - d) THEN b ELSE d END AS bin_y, cluster FROM near)"
+    " SELECT bin_x, bin_y, cluster, count(*) AS n FROM bins GROUP BY 1, 2, 3 QUALIFY row_number() OVER (PARTITION BY bin_x, bin_y ORDER BY count(*) DESC, cluster) = 1"
+)
+
+
+@query(HEX_SQL)
+def cluster_mode_hexagons(spark, sf_dir):
+    points = D.vectors(spark, sf_dir).select(F.element_at("pc", 1).alias("x"), F.element_at("pc", 2).alias("y"), "cluster")
+    return metrics.majority_hexagons(points, HEX_WIDTH)
+
+
 @query("SELECT round(((((0.8 * 0.7 + 0.4 * 0.3) * 0.7) + 0.2 * 0.3) * 0.7) + 0.1 * 0.3, 9)::DOUBLE AS average")
 def moving_average(spark, sf_dir):
     shifts = spark.createDataFrame([(0, 0.8), (1, 0.4), (2, 0.2), (3, 0.1)], "position int, shift double")
