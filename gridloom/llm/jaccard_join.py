@@ -44,8 +44,8 @@ from gridloom.llm.components import connected_components
 from gridloom.llm.scratch import near_members, saved, settled
 
 #: log2 of the most counters that estimate how many sets have a token; a corpus has one for each COUNTER_BYTES bytes, up to this.
-SKETCH_BITS = 24
-COUNTER_BYTES = 64
+SKETCH_BITS = 23
+COUNTER_BYTES = 128
 #: A list whose members would meet in more pairs than this is indexed by parts instead.
 LIST_PAIRS = 1 << 10
 SLICE = 1 << 18
@@ -99,6 +99,7 @@ def _parity(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 
 def _survey(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in K.slices(batch, "text"):
@@ -159,6 +160,7 @@ def _pairs_of_frequent(tokens: np.ndarray, rare: int, n: int, percent: int) -> n
 
 def _signatures(levels, width: int, percent: int, bits: int, frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         level = np.frombuffer(levels.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
@@ -230,6 +232,7 @@ def _part_signatures(width: int, percent: int):
 
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.release()
         for batch in batches:
             for part in K.slices(batch, "text_a"):
                 va, ba = shingle_sets(part.column("text_a"), width)

@@ -8,6 +8,8 @@ U+0009 to U+000D; every such separator is one byte in UTF-8.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +57,15 @@ def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def release() -> None:
+    """Give back to the system what earlier tasks of this worker have freed; workers are used again and again."""
+    pa.default_memory_pool().release_unused()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU library's alone
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """``batch`` cut into runs of rows whose texts have ``limit`` bytes at most, or one row."""
     n = batch.num_rows
