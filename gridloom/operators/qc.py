@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gridloom.sources.matrix import Matrix
+from gridloom.sources.scratch import saved
 
 # The default thresholds, and prefixes of mitochondrial genes' names.
 MIN_GENES, MIN_CELLS, MAX_PCT_MT, MIN_MEAN = 500, 3, 5.0, 0.0027
@@ -52,10 +53,13 @@ def dense_ids(genes: DataFrame) -> DataFrame:
 
 
 def quality_control(matrix: Matrix, min_genes: int = MIN_GENES, min_cells: int = MIN_CELLS, max_pct_mt: float = MAX_PCT_MT, min_mean: float = MIN_MEAN) -> Matrix:
-    """The filtered matrix: cells first, then genes judged over the kept cells.  No valid cell gives an empty matrix."""
-    cells = valid_cells(cell_metrics(matrix.expr, matrix.genes), min_genes, max_pct_mt).select("cell_id")
+    """The filtered matrix: cells first, then genes judged over the kept cells.  No valid cell gives an empty matrix.
+
+    The kept ids, which all three tables need, are written once.
+    """
+    cells = saved(valid_cells(cell_metrics(matrix.expr, matrix.genes), min_genes, max_pct_mt).select("cell_id"), "kept_cells")
     expr = matrix.expr.join(cells, "cell_id", "left_semi")
-    genes = kept_genes(gene_stats(expr, cells.agg(F.count("*"))), min_cells, min_mean).select("gene_id")
+    genes = saved(kept_genes(gene_stats(expr, cells.agg(F.count("*"))), min_cells, min_mean).select("gene_id"), "kept_genes")
     return Matrix(expr.join(genes, "gene_id", "left_semi"), matrix.cells.join(cells, "cell_id", "left_semi"), matrix.genes.join(genes, "gene_id", "left_semi"))
 
 

@@ -251,18 +251,20 @@ def quality_counts_normalized(spark, sf_dir):
     return rounded(describe.quality_counts(logs, m.cells, m.genes), "density", digits=9)
 
 
-# the stages after quality control over the filtered matrix: clusters of it, then factors, entries and genes as above
-SQL["s_centres"] = re.sub(r"\bexpr\b", "filtered", SQL["part_centres"])
-SQL["s_labels"] = "SELECT cell_id, cluster, distance FROM (SELECT x.cell_id, n.cluster, greatest(x.xn - 2 * coalesce(d.dot, 0) + n.cn, 0) AS distance FROM (SELECT cell_id, sum(value * value) AS xn FROM filtered GROUP BY 1) x CROSS JOIN (SELECT cluster, sum(c * c) AS cn FROM s_centres GROUP BY 1) n LEFT JOIN (SELECT cell_id, cluster, sum(value * c) AS dot FROM filtered JOIN s_centres USING (gene_id) GROUP BY 1, 2) d ON d.cell_id = x.cell_id AND d.cluster = n.cluster) QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY distance, cluster) = 1"
+# the stages over the matrix filtered by the default least mean of a gene, which leaves genes at any size: clusters of it, then factors and entries as above
+SQL["r_genes"] = SQL["kept_genes"].replace(f"mean >= {D.MIN_MEAN}", f"mean >= {qc.MIN_MEAN}")
+SQL["r_filtered"] = "SELECT * FROM kept_expr WHERE gene_id IN (SELECT gene_id FROM r_genes )"
+SQL["s_centres"] = re.sub(r"\bexpr\b", "r_filtered", SQL["part_centres"])
+SQL["s_labels"] = "SELECT cell_id, cluster, distance FROM (SELECT x.cell_id, n.cluster, greatest(x.xn - 2 * coalesce(d.dot, 0) + n.cn, 0) AS distance FROM (SELECT cell_id, sum(value * value) AS xn FROM r_filtered GROUP BY 1) x CROSS JOIN (SELECT cluster, sum(c * c) AS cn FROM s_centres GROUP BY 1) n LEFT JOIN (SELECT cell_id, cluster, sum(value * c) AS dot FROM r_filtered JOIN s_centres USING (gene_id) GROUP BY 1, 2) d ON d.cell_id = x.cell_id AND d.cluster = n.cluster) QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY distance, cluster) = 1"
 SQL["s_cells"] = "SELECT c.cell_id, c.barcode, CAST(l.cluster AS VARCHAR) AS cluster FROM cells c JOIN s_labels l ON l.cell_id = c.cell_id"
 _NORMAL = ("blocked", "libs", "thetas", "pseudo", "reference", "scales", "factors", "logs")
 for _name in _NORMAL:
-    _body = re.sub(r"\bexpr\b", "filtered", re.sub(r"\bcells\b", "s_cells", SQL[_name]))
+    _body = re.sub(r"\bexpr\b", "r_filtered", re.sub(r"\bcells\b", "s_cells", SQL[_name]))
     SQL[f"s_{_name}"] = re.sub(r"\b(" + "|".join(_NORMAL) + r")\b", r"s_\1", _body)
 
 
-def _quality_sql(entries: str, cells: str) -> str:
-    return re.sub(r"\bcells\b", cells, re.sub(r"\bgenes\b", "kept_genes", QUALITY)).format(x=entries)
+def _quality_sql(entries: str, cells: str, genes: str = "r_genes") -> str:
+    return re.sub(r"\bcells\b", cells, re.sub(r"\bgenes\b", genes, QUALITY)).format(x=entries)
 
 
 def _stage_sql(stage: str, table: str, whole: bool) -> str:
@@ -279,9 +281,9 @@ def _stage_sql(stage: str, table: str, whole: bool) -> str:
 
 LABEL_KS = (2, 4)
 REPORT_PARTS = (
-    ", q AS (" + _quality_sql("filtered", "kept_cells") + "), z AS (" + _quality_sql("s_logs", "s_cells") + "), r AS (SELECT (SELECT count(*) FROM cells) AS raw, (SELECT count(*) FROM kept_cells) AS kept, (SELECT count(*) FROM s_cells) AS clustered,"
+    ", q AS (" + _quality_sql("r_filtered", "kept_cells") + "), z AS (" + _quality_sql("s_logs", "s_cells") + "), r AS (SELECT (SELECT count(*) FROM cells) AS raw, (SELECT count(*) FROM kept_cells) AS kept, (SELECT count(*) FROM s_cells) AS clustered,"
     " (SELECT count(DISTINCT cell_id) FROM s_logs) AS normal, (SELECT count(*) FROM s_cells) AS scores, (SELECT count(*) FROM s_cells WHERE cell_id NOT IN (SELECT cell_id FROM kept_cells)) AS new_cells,"
-    " (SELECT count(DISTINCT gene_id) FROM s_logs WHERE gene_id NOT IN (SELECT gene_id FROM kept_genes)) AS new_genes, (SELECT count(*) - count(DISTINCT barcode) FROM cells WHERE cell_id IN (SELECT cell_id FROM kept_cells)) AS twice)\n"
+    " (SELECT count(DISTINCT gene_id) FROM s_logs WHERE gene_id NOT IN (SELECT gene_id FROM r_genes)) AS new_genes, (SELECT count(*) - count(DISTINCT barcode) FROM cells WHERE cell_id IN (SELECT cell_id FROM kept_cells)) AS twice)\n"
 )
 REPORT = (
     _stage_sql("kept", "q", True) + " UNION ALL " + _stage_sql("normal", "z", False)
@@ -293,14 +295,14 @@ REPORT = (
     " unnest([raw || ' to ' || kept, kept || ' to ' || clustered, kept || ' to ' || normal, normal || ' to ' || scores, '0', new_genes || '', new_cells || '', twice || '']) FROM r"
     + "".join(f" UNION ALL SELECT 'labels', 'k{k}', CASE WHEN clustered = scores THEN 'OK' ELSE 'FALHA' END, clustered || ' of ' || scores FROM r" for k in LABEL_KS)
 )
-REPORT_NEEDS = ("cells", "kept_cells", "kept_genes", "filtered", "s_cells", "s_logs")
+REPORT_NEEDS = ("cells", "kept_cells", "r_genes", "r_filtered", "s_cells", "s_logs")
 
 
 def _report(spark, sf_dir) -> DataFrame:
     """The validator over stages that are each written and read back: filtered, clustered, normalised, scores, labels."""
     raw = _written(spark, sf_dir)
     path = scratch_path(spark, "kept")
-    matrix.write_matrix(qc.quality_control(raw, D.MIN_GENES, D.MIN_CELLS, D.MAX_PCT_MT, D.MIN_MEAN), path)
+    matrix.write_matrix(qc.quality_control(raw, D.MIN_GENES, D.MIN_CELLS, D.MAX_PCT_MT, qc.MIN_MEAN), path)
     kept = matrix.read_matrix(spark, path)
     labels = kmeans.sparse_assign(kept.expr, _first_cells(kept.expr, 5)).select("cell_id", F.col("cluster").cast("string").alias("cluster"))
     cells = saved(kept.cells.select("cell_id", "barcode").join(labels, "cell_id"), "clustered")
@@ -337,7 +339,7 @@ def integrity_report(spark, sf_dir):
     return _report(spark, sf_dir)
 
 
-@query(with_sql("", "filtered", "kept_cells", "kept_genes").rstrip() + ", q AS (" + _quality_sql("filtered", "kept_cells") + ") SELECT status, count(*) AS n FROM (" + _stage_sql("kept", "q", True) + ") GROUP BY 1")
+@query(with_sql("", "filtered", "kept_cells", "kept_genes").rstrip() + ", q AS (" + _quality_sql("filtered", "kept_cells", "kept_genes") + ") SELECT status, count(*) AS n FROM (" + _stage_sql("kept", "q", True) + ") GROUP BY 1")
 def status_tally(spark, sf_dir):
     kept = _filtered(spark, sf_dir)
     return describe.status_tally(describe.stage_report("kept", describe.quality_counts(saved(kept.expr, "kept"), kept.cells, kept.genes), True))
