@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _WORDY = np.ones(256, bool)
 _WORDY[[0x20, *range(0x09, 0x0E)]] = False
