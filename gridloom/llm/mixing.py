@@ -97,9 +97,9 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
     same = F.col("source").eqNullSafe(F.col("mix_plan_source"))
     dealing = spark.createDataFrame(dealt, "mix_plan_source string, mix_blocks int")  # a row a source
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")
-    sized = docs.withColumn("mix_size", F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long"))
-    sized = sized.join(F.broadcast(dealing), same, "left").withColumn("mix_block", F.pmod(hashed, "mix_blocks").cast("int")).drop("mix_plan_source", "mix_blocks")
-    sums = sized.groupBy("source", "mix_block").agg(F.sum("mix_size").alias("words"), F.max("mix_size").alias("longest")).collect()  # a row a block
+    size = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
+    in_blocks = docs.join(F.broadcast(dealing), same, "left").withColumn("mix_block", F.pmod(hashed, "mix_blocks").cast("int")).drop("mix_plan_source", "mix_blocks")
+    sums = in_blocks.groupBy("source", "mix_block").agg(F.sum(size).alias("words"), F.max(size).alias("longest")).collect()  # a row a block
     by: dict[str | None, dict[int, int]] = {}
     longest: dict[tuple[str | None, int], int] = {}
     for s, b, words, most_words in sums:
@@ -136,9 +136,9 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
     shares = split(counts, shards, _generator(seed, "tree", "")) if len(order) else np.zeros((shards, 0), np.int64)
     # the one block of each source that is taken in part: its documents by size, as a power of two, then in hash order, while half of the next fits
     ordered = F.struct(F.length(F.bin("mix_size")).alias("magnitude"), F.xxhash64(F.lit(seed), F.lit(1), "doc_id", "text").alias("hash"))
-    sized = sized.withColumn("mix_order", ordered)
     cuts = spark.createDataFrame([(s, b, left) for s, (b, left) in partial.items()], "mix_plan_source string, mix_plan_block int, mix_cut double")
-    once = sized.join(F.broadcast(cuts), same & (F.col("mix_block") == F.col("mix_plan_block"))).groupBy("source", "mix_order", "mix_cut").agg(F.sum("mix_size").alias("words"))
+    # words are counted after the join: of the cut blocks' documents alone
+    once = in_blocks.join(F.broadcast(cuts), same & (F.col("mix_block") == F.col("mix_plan_block"))).withColumn("mix_size", F.when(F.col("mix_cut").isNotNull(), size)).withColumn("mix_order", ordered).groupBy("source", "mix_order", "mix_cut").agg(F.sum("mix_size").alias("words"))
     running = Window.partitionBy("source").orderBy("mix_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fits = F.sum("words").over(running) - F.col("words") / 2 <= F.col("mix_cut")
     bounds = {r.source: (r.last.magnitude, r.last.hash) for r in once.withColumn("fits", fits).filter("fits").groupBy("source").agg(F.max("mix_order").alias("last")).collect()}  # a row a source
@@ -152,6 +152,7 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
         for b in by[s]:
             plan.append((s, b, spots.get(b, []), bounds.get(s, (-1, 0)) if b == cut else None, sizes[s], float(goal[s])))
     plan_table = spark.createDataFrame(plan, "mix_plan_source string, mix_plan_block int, mix_shards array<int>, mix_cut struct<magnitude:int,hash:bigint>, mix_source_size long, mix_target double")
+    sized = in_blocks.withColumn("mix_size", size).withColumn("mix_order", ordered)
     planned = sized.join(F.broadcast(plan_table), same & (F.col("mix_block") == F.col("mix_plan_block")), "left")  # a row a block
     left_out = F.col("mix_cut").isNotNull() & (F.col("mix_order") > F.col("mix_cut"))
     shards_of = F.when(left_out, F.slice("mix_shards", 1, F.size("mix_shards") - 1)).otherwise(F.col("mix_shards"))
