@@ -47,7 +47,7 @@ from gridloom.llm.scratch import near_members, saved, settled
 SKETCH_BITS = 23
 COUNTER_BYTES = 128
 #: A list whose members would meet in more pairs than this is indexed by parts instead.
-LIST_PAIRS = 1 << 10
+LIST_PAIRS = 1 << 14
 SLICE = 1 << 18
 #: A token is frequent if its counter is above this many times the mean counter, plus FREQUENT_OVER.
 FREQUENT_TIMES = 2.0

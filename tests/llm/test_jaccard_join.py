@@ -49,7 +49,7 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("width", "percent", "over", "list_pairs"), [(4, 85, 64, 1 << 10), (5, 80, 1, 3), (4, 85, 0, 0)])
+@pytest.mark.parametrize(("width", "percent", "over", "list_pairs"), [(4, 85, 64, 1 << 14), (5, 80, 1, 3), (4, 85, 0, 0)])
 def test_matches_brute_force(spark, monkeypatch, width, percent, over, list_pairs):
     monkeypatch.setattr("gridloom.llm.jaccard_join.FREQUENT_OVER", over)
     rows = corpus(width)
@@ -71,7 +71,7 @@ def test_unlike_sets_on_hot_signatures(spark, monkeypatch):
     """Sets of frequent tokens alone: prefixes put thousands of them into each list, and nearly none are similar."""
     rng = random.Random(2)
     pool = [f"p{k}" for k in range(120)]
-    rows = [(i, " ".join(rng.sample(pool, 20))) for i in range(4000)]
+    rows = [(i, " ".join(rng.sample(pool, 20))) for i in range(2000)]
     rows += [(5000 + i, " ".join([*rows[i][1].split()[1:], "other"])) for i in range(0, 300, 3)]
     written = []
 
@@ -82,9 +82,9 @@ def test_unlike_sets_on_hot_signatures(spark, monkeypatch):
         return out
 
     monkeypatch.setattr("gridloom.llm.jaccard_join.saved", counted)
-    got, _ = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1, 85, sketch_bits=16)
+    got, _ = jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 1, 85, sketch_bits=16, list_pairs=1 << 10)
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows, 1, 85)
-    assert max(written) < 60 * len(rows)  # of 8,400,000 pairs
+    assert max(written) < 60 * len(rows)  # of 2,200,000 pairs
 
 
 def test_long_lists_are_not_expanded(spark):
