@@ -43,11 +43,10 @@ from gridloom.llm import kernels as K
 from gridloom.llm.components import connected_components
 from gridloom.llm.scratch import near_members, saved, settled
 
-#: log2 of the most counters that estimate how many sets have a token; a corpus has one for each COUNTER_BYTES bytes, up to this.
-SKETCH_BITS = 23
-COUNTER_BYTES = 128
+#: log2 of the number of counters that estimate how many sets have a token.
+SKETCH_BITS = 22
 #: A list whose members would meet in more pairs than this is indexed by parts instead.
-LIST_PAIRS = 1 << 14
+LIST_PAIRS = 1 << 26
 SLICE = 1 << 18
 #: A token is frequent if its counter is above this many times the mean counter, plus FREQUENT_OVER.
 FREQUENT_TIMES = 2.0
@@ -273,8 +272,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(sketch_bits, max(18, (size // COUNTER_BYTES).bit_length()))
+    bits = sketch_bits
     survey = saved(docs.mapInArrow(_survey(width, bits), _SURVEY), "sets")
     slices = survey.filter("kind = 1").select("slice", "counts").repartition("slice").mapInArrow(_merge, "slice int, levels binary, total long")
     level, total = np.zeros(1 << bits, np.uint8), 0

@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from gridloom.llm.jaccard_join import _across, jaccard_components
+from gridloom.llm.jaccard_join import LIST_PAIRS, _across, jaccard_components
 from gridloom.llm.scratch import saved
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -90,7 +90,7 @@ def test_unlike_sets_on_hot_signatures(spark, monkeypatch):
 def test_long_lists_are_not_expanded(spark):
     postings = spark.range(20_000).selectExpr("1L as sig", "id as node", "30 as n", "30 as rem", "0L as hub", "30 as n_hub", "30 as rem_hub")
     labels = spark.createDataFrame([], "node long, label long")
-    pairs, long = _across(postings, labels, 85, 1 << 14)
+    pairs, long = _across(postings, labels, 85, LIST_PAIRS)
     assert pairs.count() == 0 and long.count() == 20_000
 
 
