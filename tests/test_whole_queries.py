@@ -4,10 +4,11 @@ import math
 import random
 import statistics
 
+import duckdb
 import pytest
 
 from gridloom.operators import metrics
-from gridloom.plans.registry import QUERIES
+from gridloom.plans.registry import ORACLES, QUERIES
 
 
 def silhouettes(points):
@@ -58,3 +59,17 @@ def test_pool_medians_all(spark, tmp_path):
                 want[cluster, block, start, width] = statistics.median(sum(z[c][p] for c in pool) / ref[p] for p in range(9))
     assert {(r.cluster, r.block, r.start, r.width) for r in got} == set(want) and len(got) == len(want)
     assert all(math.isclose(r.ratio, want[r.cluster, r.block, r.start, r.width], abs_tol=2e-6) for r in got)
+
+
+def test_entry_bounds_of_nothing(spark, tmp_path):
+    """A gene of one cell is dropped, so no entry is left: a count of 0, as SQL's."""
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    save([(c, f"c{c}", "a") for c in range(4)], "c_custkey long, c_name string, c_mktsegment string", "customer")
+    save([(p, f"p{p}", "x") for p in range(100)], "p_partkey long, p_name string, p_brand string", "part")
+    save([(c, c) for c in range(4)], "o_orderkey long, o_custkey long", "orders")
+    save([(p // 25, p, 1.0) for p in range(100)], "l_orderkey long, l_partkey long, l_quantity double", "lineitem")
+    (got,) = QUERIES["qc_entry_bounds"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    for t in ("customer", "part", "orders", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert tuple(got) == con.execute(ORACLES["qc_entry_bounds"]).fetchone() == (0, None)
