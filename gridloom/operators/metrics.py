@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.operators import kmeans
+
 # Fixed value: rows of the sample whose pairs make the Euclidean silhouette.
 SILHOUETTE_ROWS = 5000
 
@@ -47,6 +53,36 @@ def silhouettes_squared(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return by.select("cell_id", "cluster", F.when(F.col("b").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top).alias("s"))
 
 
+def mean_silhouettes(rows: DataFrame, sets: dict[int, np.ndarray]) -> dict[int, float]:
+    """The means of ``silhouettes_squared`` with each row in the cluster of its nearest centroid, for several sets of centroids in the same two passes."""
+    shared = rows.sparkSession.sparkContext.broadcast((sets, kmeans.tables(rows, sets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, tables = shared.value
+        total, count = dict.fromkeys(sets, 0.0), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = kmeans.coordinates(batch)
+            at, xx = np.arange(len(x)), (x * x).sum(axis=1)
+            for key, centroids in sets.items():
+                own, _ = kmeans.nearest(x, centroids)
+                n, q, s = tables[key][:, 0], tables[key][:, 2], tables[key][:, 3:]
+                far = np.maximum(xx[:, None] * n - 2 * x @ s.T + q, 0)
+                a = np.where(n[own] > 1, far[at, own] / np.maximum(n[own] - 1, 1), 0)
+                far = np.where(n > 0, far / np.maximum(n, 1), np.inf)
+                far[at, own] = np.inf
+                b = far.min(axis=1)
+                top = np.maximum(a, b)
+                none = np.isinf(b) | (top <= 0)
+                total[key] += np.where(none, 0, np.where(none, 0, b - a) / np.where(none, 1, top)).sum()
+            count += len(x)
+        yield pa.RecordBatch.from_pydict({"key": list(total), "s": list(total.values()), "n": [count] * len(total)}, pa.schema([("key", pa.int32()), ("s", pa.float64()), ("n", pa.int64())]))
+
+    found = rows.select("pc").mapInArrow(run, "key int, s double, n long").groupBy("key").agg((F.sum("s") / F.sum("n")).alias("s")).collect()
+    return {r.key: r.s for r in found}
+
+
 def silhouettes_euclidean(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """(cell_id, cluster, s) with Euclidean distances, by pairs: for a bounded sample.  A point alone in its cluster has s = 0."""
     points = rows.join(labels.select("cell_id", "cluster"), "cell_id").select("cell_id", "cluster", "pc")

@@ -186,6 +186,41 @@ def test_kmeans_finds_blobs_and_keeps_empty_clusters(spark):
     assert metrics.elbow(curve).first().k == 3
 
 
+def test_sweep_takes_a_job_a_pass_on_all_cores(spark):
+    """A table in one partition is dealt out, and a pass is one job: 3 seeds, 4 steps, and some to deal the rows."""
+    rows = rows_of(spark, np.random.default_rng(8).normal(size=(3000, 4))).coalesce(1)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("one-sweep", "")
+    fits = kmeans.sweep(rows, [2, 3], 2, max_iter=4, tol=0)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {f.n_iters for f in fits.values()} == {4}
+    jobs = sorted(tracker.getJobIdsForGroup("one-sweep"))
+    assert len(jobs) <= 3 + 4 + 6
+    assert all(max(tracker.getStageInfo(s).numTasks for s in tracker.getJobInfo(j).stageIds) == 2 for j in jobs[-7:])
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_tables_are_sums_by_cluster(spark, few):
+    x = np.random.default_rng(9).normal(size=(500, 3))
+    sets = {7: x[:3], 2: np.array([[0.0, 0, 0], [9e9, 0, 0]])}
+    got = kmeans.tables(rows_of(spark, x).repartition(3), sets, few)
+    for key, centroids in sets.items():
+        own, distance = kmeans.nearest(x, centroids)
+        for c in range(len(centroids)):
+            part = x[own == c]
+            assert np.allclose(got[key][c], [len(part), distance[own == c].sum(), (part**2).sum(), *part.sum(axis=0)])
+
+
+def test_mean_silhouettes_are_those_of_each_set(spark):
+    x = np.concatenate([np.random.default_rng(10).normal(m, 1, (40, 2)) for m in (0, 3)] + [[[50.0, 50.0]]])
+    rows = rows_of(spark, x).repartition(3)
+    sets = {1: x[:1], 2: x[[0, 40]], 3: x[[0, 40, 80]], 4: np.array([x[0], x[40], [-1e6, 0], [50, 50]])}
+    got = metrics.mean_silhouettes(rows, sets)
+    for key, centroids in sets.items():
+        want = metrics.silhouettes_squared(rows, kmeans.assign(rows, centroids)).agg(F.avg("s")).first()[0]
+        assert math.isclose(got[key], want, abs_tol=1e-9)
+
+
 def test_lloyd_never_worsens(spark):
     rows = domain.vectors(spark, "/root/testdata/sf0.001")
     seeds = kmeans.lowest_ids(rows, 4)
