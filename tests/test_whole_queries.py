@@ -61,15 +61,33 @@ def test_pool_medians_all(spark, tmp_path):
     assert all(math.isclose(r.ratio, want[r.cluster, r.block, r.start, r.width], abs_tol=2e-6) for r in got)
 
 
-def test_entry_bounds_of_nothing(spark, tmp_path):
-    """A gene of one cell is dropped, so no entry is left: a count of 0, as SQL's."""
-    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
-    save([(c, f"c{c}", "a") for c in range(4)], "c_custkey long, c_name string, c_mktsegment string", "customer")
-    save([(p, f"p{p}", "x") for p in range(100)], "p_partkey long, p_name string, p_brand string", "part")
-    save([(c, c) for c in range(4)], "o_orderkey long, o_custkey long", "orders")
-    save([(p // 25, p, 1.0) for p in range(100)], "l_orderkey long, l_partkey long, l_quantity double", "lineitem")
-    (got,) = QUERIES["qc_entry_bounds"](spark, str(tmp_path)).collect()
+def write_orders(spark, folder, n_cells, n_parts, lines):
+    """The tables of a matrix; ``lines`` are (cell, gene, value)."""
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(str(folder / f"{name}.parquet"))
+    save([(c, f"c{c}", "a") for c in range(n_cells)], "c_custkey long, c_name string, c_mktsegment string", "customer")
+    save([(p, f"p{p}", "x") for p in range(n_parts)], "p_partkey long, p_name string, p_brand string", "part")
+    save([(c, c) for c in range(n_cells)], "o_orderkey long, o_custkey long", "orders")
+    save(lines, "l_orderkey long, l_partkey long, l_quantity double", "lineitem")
+
+
+def by_sql(folder, name):
     con = duckdb.connect()
     for t in ("customer", "part", "orders", "lineitem"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
-    assert tuple(got) == con.execute(ORACLES["qc_entry_bounds"]).fetchone() == (0, None)
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+    return con.execute(ORACLES[name]).fetchall()
+
+
+def test_entry_bounds_of_nothing(spark, tmp_path):
+    """Genes of one cell are dropped, so no entry is left: a count of 0, as SQL's."""
+    write_orders(spark, tmp_path, 4, 100, [(p // 25, p, 1.0) for p in range(100)])
+    got = QUERIES["qc_entry_bounds"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == by_sql(tmp_path, "qc_entry_bounds") == [(0, None)]
+
+
+def test_integrity_report_of_nothing(spark, tmp_path):
+    """Cells stay, but no gene does: a whole report, not an error."""
+    write_orders(spark, tmp_path, 4, 100, [(p // 25, p, 1.0) for p in range(100)])
+    got = QUERIES["integrity_report"](spark, str(tmp_path)).select("stage", "check", "status", "detail").collect()
+    want = by_sql(tmp_path, "integrity_report")
+    assert ("pipeline", "kept_is_clustered", "FALHA", "4 to 0") in want and len(want) == 25
+    assert sorted(map(tuple, got)) == sorted(want)
