@@ -66,7 +66,7 @@ def mean_silhouettes(rows: DataFrame, sets: dict[int, np.ndarray]) -> dict[int,
             x = kmeans.coordinates(batch)
             at, xx = np.arange(len(x)), (x * x).sum(axis=1)
             for key, centroids in sets.items():
-                own, _ = kmeans.nearest(x, centroids)
+                own, _ = kmeans.nearest(x, centroids, xx)
                 n, q, s = tables[key][:, 0], tables[key][:, 2], tables[key][:, 3:]
                 far = np.maximum(xx[:, None] * n - 2 * x @ s.T + q, 0)
                 a = np.where(n[own] > 1, far[at, own] / np.maximum(n[own] - 1, 1), 0)
