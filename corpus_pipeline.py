@@ -14,7 +14,7 @@ from gridloom.llm import decontaminate as contamination
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.mixing import mix
-from gridloom.llm.scratch import mark, saved, settled
+from gridloom.llm.scratch import bound_batches, mark, saved, settled
 from gridloom.llm.sharding import shard
 
 #: Documents whose language scores less are rejected, as are those without one.
@@ -23,6 +23,7 @@ LEAST_SCORE = 0.3
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with an identified language; those without letters (``und``) or below LEAST_SCORE go."""
+    bound_batches(spark)
     labelled = identify(docs, train(docs), keep=docs.columns)
     kept = labelled.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
     return kept.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
@@ -34,6 +35,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Rows that repeat an id are one document; the row of least text stays.  Rows
     with a null id, and texts without words, are linked with nothing and stay.
     """
+    bound_batches(spark)
     components, _ = jaccard_components(docs, width=5, percent=80)
     dropped = saved(components.filter("doc_id is not null and component_id <> doc_id").select("doc_id").distinct(), "copies")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
@@ -48,6 +50,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
+    bound_batches(spark)
     return contamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 

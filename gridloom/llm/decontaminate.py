@@ -408,7 +408,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH,
     source, items = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), _items(benchmark)
     held = _held(items, max_words)
     if held is not None:
-        return source.mapInArrow(_find(docs.sparkSession.sparkContext.broadcast(held), stretch, agree), _FOUND)
+        return source.mapInArrow(K.freeing(_find(docs.sparkSession.sparkContext.broadcast(held), stretch, agree)), _FOUND)
     found, may = _joined(source, items, stretch, agree)
     return may.select("doc_id", F.col(KEY).alias("key")).join(found, "key").select("doc_id", "item_id", "doc_start", "item_start", "n_words", "n_same")
 
@@ -418,7 +418,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, stretch: int = STRETCH,
     items = _items(benchmark)
     held = _held(items, max_words)
     if held is not None:
-        return docs.mapInArrow(_keep(docs.sparkSession.sparkContext.broadcast(held), stretch, agree), docs.schema)
+        return docs.mapInArrow(K.freeing(_keep(docs.sparkSession.sparkContext.broadcast(held), stretch, agree)), docs.schema)
     found, _ = _joined(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), items, stretch, agree)
     bad = saved(found.select(F.col("key").alias(KEY)).distinct(), "bad")
     keyed = docs.mapInArrow(_keyed, T.StructType([*docs.schema.fields, T.StructField(KEY, T.LongType())]))

@@ -98,7 +98,6 @@ def _parity(values: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
 
 def _survey(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.release()
         counts = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part in K.slices(batch, "text"):
@@ -159,7 +158,6 @@ def _pairs_of_frequent(tokens: np.ndarray, rare: int, n: int, percent: int) -> n
 
 def _signatures(levels, width: int, percent: int, bits: int, frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.release()
         level = np.frombuffer(levels.value, np.uint8)
         seen: set[int] = set()
         for batch in batches:
@@ -231,7 +229,6 @@ def _part_signatures(width: int, percent: int):
 
 def _verify(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        K.release()
         for batch in batches:
             for part in K.slices(batch, "text_a"):
                 va, ba = shingle_sets(part.column("text_a"), width)
@@ -273,7 +270,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     bits = sketch_bits
-    survey = saved(docs.mapInArrow(_survey(width, bits), _SURVEY), "sets")
+    survey = saved(docs.mapInArrow(K.freeing(_survey(width, bits)), _SURVEY), "sets")
     slices = survey.filter("kind = 1").select("slice", "counts").repartition("slice").mapInArrow(_merge, "slice int, levels binary, total long")
     level, total = np.zeros(1 << bits, np.uint8), 0
     for s, part, many in slices.collect():  # 2**bits bytes
@@ -301,13 +298,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
         texts = saved(texts_of(close.select(F.explode(F.array("a", "b")).alias("node"))), "texts")
         side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"text_{x}"))
         both = close.join(side("b"), "b").join(side("a"), "a").select("a", "b", "text_a", "text_b")
-        return both.mapInArrow(_verify(width, percent), "a long, b long, shared long")
+        return both.mapInArrow(K.freeing(_verify(width, percent)), "a long, b long, shared long")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among ``pairs`` (a, b): by parity bitmaps first, then exactly by the texts."""
         return settled(lambda: checked(pairs), "links")
 
-    postings = docs.filter("doc_id is not null").mapInArrow(_signatures(shared, width, percent, bits, frequent), _POSTINGS)
+    postings = docs.filter("doc_id is not null").mapInArrow(K.freeing(_signatures(shared, width, percent, bits, frequent)), _POSTINGS)
     postings = _listed(postings)
     pairs = _with_hubs(postings, percent)
     links = verified(pairs)
@@ -315,7 +312,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, sketc
     across, long = _across(postings, labels, percent, list_pairs)
     across = saved(across.join(pairs, ["a", "b"], "left_anti"), "pairs")
     if long.limit(1).count():
-        postings = _listed(texts_of(long).mapInArrow(_part_signatures(width, percent), _POSTINGS))
+        postings = _listed(texts_of(long).mapInArrow(K.freeing(_part_signatures(width, percent)), _POSTINGS))
         met = saved(_with_hubs(postings, percent).unionByName(across).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
         more = verified(met)
         links, pairs = links.unionByName(more), pairs.unionByName(met)

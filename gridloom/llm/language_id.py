@@ -113,7 +113,7 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> Model:
     languages = [r.lang for r in sample.select("lang").distinct().orderBy("lang").collect()]
     code = F.array_position(F.array(*[F.lit(x) for x in languages] or [F.lit("")]), F.col("lang")).cast("int") - 1
     taken = near_members(rows, "doc_id", sample.select("doc_id"), train_docs * max(1, len(languages))).join(sample, ["doc_id", "lang"])
-    counted = taken.select("text", code.alias("code")).mapInArrow(_count(len(languages)), "code int, counts binary").repartition("code").mapInArrow(_add, "code int, counts binary").collect()
+    counted = taken.select("text", code.alias("code")).mapInArrow(K.freeing(_count(len(languages))), "code int, counts binary").repartition("code").mapInArrow(_add, "code int, counts binary").collect()
     sample.unpersist()
     size = 1 << GRAM_BITS
     weights, scripts = np.zeros((size, len(languages)), np.float32), np.zeros(len(languages), np.int32)
@@ -218,7 +218,7 @@ def label(words: K.Words, model: Model, switch: float = SWITCH) -> tuple[np.ndar
     return path, sums
 
 
-def _predict(model, switch: float):
+def _predict(model, switch: float, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         names = np.array([*m.languages, "und"], dtype=object)
@@ -252,7 +252,7 @@ def _predict(model, switch: float):
                     "lang_pred": pa.array(np.where(known, names[top], "und"), pa.string()),
                     "score": score,
                     "spans": pa.ListArray.from_arrays(pa.array(bounds), spans),
-                    **{c: part.column(c) for c in part.schema.names if c.startswith("kept_")},
+                    **{f"kept_{c}": part.column("text" if c == "text" else f"kept_{c}") for c in keep},
                 })
 
     return run
@@ -276,7 +276,8 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, keep: list[s
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = ~F.coalesce(in_training(F.col("doc_id")), F.lit(True))
-    extra = [F.col(c).alias(f"kept_{c}") for c in keep or []]
+    keep = keep or []
+    extra = [F.col(c).alias(f"kept_{c}") for c in keep if c != "text"]  # the texts go to the workers once
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text", *extra)
-    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name.startswith("kept_"))
-    return source.mapInArrow(_predict(shared, switch), "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>" + kept)
+    kept = "".join(f", `kept_{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(K.freeing(_predict(shared, switch, keep)), "doc_id long, held_out boolean, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>" + kept)

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gridloom.llm.scratch import local_table
+
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 #: Names that the mixture uses for itself; columns of these names are left out.
@@ -95,7 +97,7 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
     dealt = [(s, blocks or least + MAX_BLOCKS * b // all_bytes // 2) for s, b in size_of.items()]
     shards = shards or min(MOST_SHARDS, max(LEAST_SHARDS, all_bytes // SHARD_BYTES))
     same = F.col("source").eqNullSafe(F.col("mix_plan_source"))
-    dealing = spark.createDataFrame(dealt, "mix_plan_source string, mix_blocks int")  # a row a source
+    dealing = local_table(spark, dealt, "mix_plan_source string, mix_blocks int")  # a row a source
     hashed = F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), "text")
     size = F.coalesce(F.expr(r"regexp_count(text, '[^\\x20\\x09-\\x0D]+')"), F.lit(0)).cast("long")
     in_blocks = docs.join(F.broadcast(dealing), same, "left").withColumn("mix_block", F.pmod(hashed, "mix_blocks").cast("int")).drop("mix_plan_source", "mix_blocks")
@@ -136,7 +138,7 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
     shares = split(counts, shards, _generator(seed, "tree", "")) if len(order) else np.zeros((shards, 0), np.int64)
     # the one block of each source that is taken in part: its documents by size, as a power of two, then in hash order, while half of the next fits
     ordered = F.struct(F.length(F.bin("mix_size")).alias("magnitude"), F.xxhash64(F.lit(seed), F.lit(1), "doc_id", "text").alias("hash"))
-    cuts = spark.createDataFrame([(s, b, left) for s, (b, left) in partial.items()], "mix_plan_source string, mix_plan_block int, mix_cut double")
+    cuts = local_table(spark, [(s, b, left) for s, (b, left) in partial.items()], "mix_plan_source string, mix_plan_block int, mix_cut double")
     # words are counted after the join: of the cut blocks' documents alone
     once = in_blocks.join(F.broadcast(cuts), same & (F.col("mix_block") == F.col("mix_plan_block"))).withColumn("mix_size", F.when(F.col("mix_cut").isNotNull(), size)).withColumn("mix_order", ordered).groupBy("source", "mix_order", "mix_cut").agg(F.sum("mix_size").alias("words"))
     running = Window.partitionBy("source").orderBy("mix_order").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -151,7 +153,7 @@ def placements(docs: DataFrame, weights: dict[str | None, float] | None = None,
         cut = partial.get(s, (None, 0.0))[0]
         for b in by[s]:
             plan.append((s, b, spots.get(b, []), bounds.get(s, (-1, 0)) if b == cut else None, sizes[s], float(goal[s])))
-    plan_table = spark.createDataFrame(plan, "mix_plan_source string, mix_plan_block int, mix_shards array<int>, mix_cut struct<magnitude:int,hash:bigint>, mix_source_size long, mix_target double")
+    plan_table = local_table(spark, plan, "mix_plan_source string, mix_plan_block int, mix_shards array<int>, mix_cut struct<magnitude:int,hash:bigint>, mix_source_size long, mix_target double")
     sized = in_blocks.withColumn("mix_size", size).withColumn("mix_order", ordered)
     planned = sized.join(F.broadcast(plan_table), same & (F.col("mix_block") == F.col("mix_plan_block")), "left")  # a row a block
     left_out = F.col("mix_cut").isNotNull() & (F.col("mix_order") > F.col("mix_cut"))

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.scratch import filesystem, remove, scratch_path
+from gridloom.llm.scratch import filesystem, local_table, remove, scratch_path
 
 #: Bytes of an arrival's shards before compression, and of compacted ones at least.
 SMALL_BYTES = 8 << 20
@@ -224,7 +224,7 @@ class ShardStore:
         Where ``columns`` has one of these names, that one keeps it and the new column gets a trailing underscore.
         """
         got = self.manifest()
-        names = self.spark.createDataFrame([(s.path.rpartition("/")[2], k, s.rows, s.bytes) for k, s in enumerate(sorted(got.shards, key=lambda s: s.path.rpartition("/")[2]))], f"{FILE} string, shard int, shard_rows long, shard_bytes long")
+        names = local_table(self.spark, [(s.path.rpartition("/")[2], k, s.rows, s.bytes) for k, s in enumerate(sorted(got.shards, key=lambda s: s.path.rpartition("/")[2]))], f"{FILE} string, shard int, shard_rows long, shard_bytes long")
         for c in ("shard", "shard_rows", "shard_bytes"):
             names = names.withColumnRenamed(c, c + "_" * (c in columns))
         names = F.broadcast(names) if len(got.shards) <= BROADCAST_SHARDS else names  # a row a shard

@@ -2,12 +2,15 @@ import itertools
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from gridloom.llm import kernels  # noqa: E402
 from gridloom.llm.mixing import placements  # noqa: E402
-from gridloom.llm.scratch import saved  # noqa: E402
+from gridloom.llm.scratch import local_table, saved  # noqa: E402
+from gridloom.llm.sharding import shard  # noqa: E402
 
 WORDS = {"en": "the house is near river and water flows with great force through other valley where they think of it".split(), "de": "das haus ist nahe dem fluss wasser fliesst mit großer kraft durch andere tal wo sie denken daran".split()}
 
@@ -72,3 +75,37 @@ def test_mixture_is_shuffled(spark):
         assert all(abs(part[s] / 500 - share[s] / len(out)) < 0.1 for s in share)
     near = sum(a.doc_id == b.doc_id for a, b in itertools.pairwise(out))
     assert max(Counter(r.doc_id for r in out).values()) > 1 and near < 20
+
+
+def test_batches_of_workers(spark, monkeypatch):
+    """A batch that goes to a worker is bounded in bytes and holds the texts once."""
+    text = "the house is near " * 6000
+    docs = saved(spark.createDataFrame([(i, text, "en", "s", 0) for i in range(80)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1), "large")
+
+    def measured(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_pydict({"doc_id": [0], "held_out": [False], "lang_pred": ["en"], "score": [1.0], "spans": pa.array([[]], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))), "kept_doc_id": [0], "kept_text": [""], "kept_lang": ["en"], "kept_source": ["s"], "kept_n_chars": [b.nbytes]})
+
+        return run
+
+    monkeypatch.setattr("gridloom.llm.language_id._predict", measured)
+    sizes = [r.n_chars for r in corpus_pipeline.language_id(spark, docs, "").collect()]
+    assert max(sizes) < 3 << 20 and sum(sizes) < 1.1 * 80 * len(text)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    freed = []
+    monkeypatch.setattr(kernels, "release", lambda: freed.append(1))
+    batches = kernels.freeing(lambda given: (x + 1 for x in given))(iter([1, 2]))
+    assert next(batches) == 2 and not freed
+    assert list(batches) == [3] and freed == [1]
+
+
+def test_plans_of_the_driver_need_no_worker(spark, tables):
+    docs = spark.read.parquet(f"{tables[0]}/documents.parquet")
+    for df in (corpus_pipeline.mixing(spark, docs, ""), shard(docs).located("doc_id")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation" in plan and "RDD" not in plan
+    assert local_table(spark, [(None, [1], (2, 3)), ("a", [], None)], "a string, b array<int>, c struct<x:int,y:bigint>").collect() == [(None, [1], (2, 3)), ("a", [], None)]
+    assert local_table(spark, [], "a string, b int").collect() == []
