@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import kernels as K
@@ -33,18 +33,24 @@ BITS = 4
 #: A range of ids holds about so many bytes of text, and there are MAX_RANGES at most.
 RANGE_BYTES = 4 << 20
 MAX_RANGES = 4096
-_TRIES = 16384
+#: Bytes of a text at least, on average, where a column tells its size.
+LEAST_BYTES = 256
+#: Texts that are sketched at once: BINS numbers each.
+SLICE_ROWS = 512
+_TRIES, _STEP = 16384, 512
 _FIRST_TRIES = 24
 
 
 @functools.cache
 def _sequences() -> tuple[np.ndarray, np.ndarray]:
     """tries x bins: the bin that an empty bin asks at each try; bins x bins: at which try it first asks another."""
-    asked = (K.mix(np.arange(_TRIES * BINS, dtype=np.uint64) + np.uint64(0xA5A5_0000_1234)) % np.uint64(BINS)).astype(np.int64).reshape(_TRIES, BINS)
     when = np.full((BINS, BINS), _TRIES, np.int32)
     bins = np.arange(BINS)
-    for t in range(_TRIES - 1, -1, -1):
-        when[bins, asked[t]] = t
+    for first in range(_TRIES - _STEP, -1, -_STEP):  # some tries at a time, the first ones last
+        numbers = np.arange(first * BINS, (first + _STEP) * BINS, dtype=np.uint64)
+        asked = (K.mix(numbers + np.uint64(0xA5A5_0000_1234)) % np.uint64(BINS)).astype(np.int64).reshape(_STEP, BINS)
+        for t in range(_STEP - 1, -1, -1):
+            when[bins, asked[t]] = first + t
     return asked[:_FIRST_TRIES].copy(), when
 
 
@@ -102,10 +108,10 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in K.slices(batch, "text"):
+            for part in K.slices(batch, "text", rows=SLICE_ROWS):
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "fingerprint": packed(*sketch(part.column("text")))})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fingerprint string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(K.freeing(run), "doc_id long, fingerprint string")
 
 
 _COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -114,7 +120,7 @@ _COMPARED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = None  # the last row so far, which waits for its successor: (range, copied, id, text, codes, has)
     for batch in batches:
-        for part in K.slices(batch, "text"):
+        for part in K.slices(batch, "text", rows=SLICE_ROWS):
             texts = ["" if t is None else t for t in part.column("text").to_pylist()]
             ids, ranges, copied = part.column("doc_id").to_pylist(), part.column("range").to_pylist(), part.column("copied").to_pylist()
             codes, has = sketch(part.column("text"))
@@ -143,7 +149,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             })
 
 
-def compare_neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def compare_neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES, text_size: Column | None = None) -> DataFrame:
     """Each document's fingerprint beside those of its edited text and of the next document.
 
     Documents follow each other by doc_id (null first), then text (null first); the last
@@ -151,11 +157,18 @@ def compare_neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataF
     (rounded down) replaced by as many of the next text's first ones, or by all of them.
     A null text counts as empty; rows that repeat an id, or a whole row, are documents of
     their own; a sole document is its own next; an empty table gives no rows; other columns are ignored.
+
+    ``text_size``, a number, says about how long a text is and deals the ranges alone: any values give the same rows.
+    Without it all texts are decoded once more to be measured, which widens an executor's heap by half.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"))
-    size = source.agg(F.sum(F.octet_length("text")).alias("size"), F.count("*").alias("n")).first()
-    count = min(MAX_RANGES, 1 + (size.size or 0) // range_bytes)
+    if text_size is None:
+        size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    else:
+        told, n = docs.agg(F.sum(text_size.cast("double")), F.count("*")).first()
+        size = int(min(max(LEAST_BYTES * n, told or 0), 1e18))
+    count = min(MAX_RANGES, 1 + size // range_bytes)
     side = max(1, round(count**0.5))
     points = [k / (side * side) for k in range(1, side * side)]
     bounds = sorted(set(source.agg(F.percentile_approx("key", points, 20 * side * side)).first()[0] or [])) if points else []
@@ -172,4 +185,4 @@ def compare_neighbours(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataF
     own = F.struct(F.col("range"), F.lit(False).alias("copied"))
     placed = ranged.withColumn("to", F.when(F.col("key").isin(*before), F.array(own, F.struct(copies[F.col("key")].alias("range"), F.lit(True).alias("copied")))).otherwise(F.array(own)))
     placed = placed.select("doc_id", "text", "key", F.inline("to"))
-    return placed.repartition("range").sortWithinPartitions("range", "copied", "key", F.col("text").asc_nulls_first()).select("range", "copied", "doc_id", "text").mapInArrow(_compare, _COMPARED)
+    return placed.repartition("range").sortWithinPartitions("range", "copied", "key", F.col("text").asc_nulls_first()).select("range", "copied", "doc_id", "text").mapInArrow(K.freeing(_compare), _COMPARED)

@@ -78,8 +78,8 @@ def freeing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return freed
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` cut into runs of rows whose texts have ``limit`` bytes at most, or one row."""
+def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[pa.RecordBatch]:
+    """``batch`` cut into runs of ``rows`` rows at most whose texts have ``limit`` bytes at most, or one row."""
     n = batch.num_rows
     if not n:
         return
@@ -87,7 +87,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     start = 0
     while start < n:
         stop = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-        stop = min(max(stop, start + 1), n)
+        stop = min(max(stop, start + 1), n, start + (rows or n))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -14,6 +14,7 @@ from gridloom.llm.html_text import extract
 from gridloom.llm.jaccard_join import jaccard_components
 from gridloom.llm.language_id import identify, train
 from gridloom.llm.mixing import placements
+from gridloom.llm.scratch import bound_batches, bound_reads
 from gridloom.llm.secrets import scan
 from gridloom.llm.sharding import shard
 from gridloom.llm.substring_dedup import substring_dedup
@@ -35,7 +36,11 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_neighbours(_table(spark, sf_dir, "documents"))
+    bound_batches(spark)
+    bound_reads(spark)
+    docs = _table(spark, sf_dir, "documents")
+    sized = dict(docs.dtypes).get("n_chars") in ("int", "bigint")
+    return compare_neighbours(docs, text_size=F.col("n_chars") if sized else None)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
